@@ -33,8 +33,9 @@ from .common import Rows, id_and_text, small_batches
 
 SAMPLE = 20_000  # labelled rows that a fit reads at most
 ENTRIES = 4_000  # learned lexicon entries at most
+PURITY = 20  # toxic training texts for each clean one
 STEMS = (4, 5, 6)  # lengths of the stems that a fit tries
-SUPPORT = 5  # toxic training rows that an entry needs
+SUPPORT, SHARE = 5, 0.02  # toxic training texts that an entry needs: so many, and this share of them
 THRESHOLD = 0.3
 BASE = 0.02
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
@@ -168,15 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
             yield out.batch(names, [pos[w] for w in names], [neg[w] for w in names])
 
     train = id_and_text(docs).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
-    train = train.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    # Copies count once: the words of a much copied text say nothing about its label.
+    train = train.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     counts = train.mapInArrow(features, out.schema).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Precision of four fifths at least: weaker entries carry topic, not toxicity.
-    useful = counts.filter((F.col("entry") == "") | (F.col("pos") >= SUPPORT) & (F.col("pos") >= 4 * F.col("neg")))
+    # Twenty toxic texts for a clean one at least: weaker entries carry topic, not toxicity.
+    useful = counts.filter((F.col("entry") == "") | (F.col("pos") >= SUPPORT) & (F.col("pos") >= PURITY * F.col("neg")))
     found = useful.orderBy(F.desc(F.col("entry") == ""), F.desc("pos"), "entry").limit(entries + 1).collect()
     if not found or found[0].entry != "" or not found[0].pos or not found[0].neg:
         return {}
     pos, neg = found[0].pos, found[0].neg
-    weights = {r.entry: math.log((r.pos + 0.5) / (r.neg + 0.5) * (neg + 1) / (pos + 1)) for r in found[1:]}
+    least = SHARE * pos
+    weights = {r.entry: math.log((r.pos + 0.5) / (r.neg + 0.5) * (neg + 1) / (pos + 1)) for r in found[1:] if r.pos >= least}
     return {e: w for e, w in weights.items() if w > 2}
 
 
