@@ -9,8 +9,10 @@ path, so a class counts by the clause it stands in and not as a lone word. The
 document's score is one minus the product of its clauses' complements.
 
 The lexicon has a short list of class words and entries learned from a bounded
-sample of labelled rows: whole words, or stems where many inflected forms share
-one, whose presence separates the labels.
+sample of labelled rows, whose presence separates the labels: whole words,
+stems that many inflected forms share (``stem*``), and stems that speak only
+when a text has two different forms of them (``stem**``; from the second form
+on, its words are insults).
 
 Odd input: null and empty texts, and texts without a lexicon word, score the
 base rate's low end (BASE). Without labels (none, or only of one kind) the
@@ -33,7 +35,7 @@ from .common import Rows, id_and_text, small_batches
 
 SAMPLE = 20_000  # labelled rows that a fit reads at most
 ENTRIES = 4_000  # learned lexicon entries at most
-PURITY = 20  # toxic training texts for each clean one
+PURITY = 10  # toxic training texts for each clean one
 STEMS = (4, 5, 6)  # lengths of the stems that a fit tries
 SUPPORT, SHARE = 5, 0.02  # toxic training texts that an entry needs: so many, and this share of them
 THRESHOLD = 0.3
@@ -95,7 +97,9 @@ class Scorer:
     def __init__(self, learned: dict[str, float]):
         self.classes = {w: k for k, ws in WORDS.items() for w in ws.split()}
         self.words = dict.fromkeys(INSULTS.split(), INSULT_WEIGHT) | {e: w for e, w in learned.items() if not e.endswith("*")}
-        self.stems = {e[:-1]: w for e, w in learned.items() if e.endswith("*")}
+        self.stems = {e[:-1]: w for e, w in learned.items() if e.endswith("*") and not e.endswith("**")}
+        self.pairs = {e[:-2]: w for e, w in learned.items() if e.endswith("**")}
+        self.pair_lengths = sorted({len(s) for s in self.pairs}, reverse=True)
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.machine = grammar()
         self.seen: dict[str, tuple[int, float]] = {}
@@ -109,6 +113,9 @@ class Scorer:
         for n in self.lengths:
             if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
                 return INSULT, w
+        for n in self.pair_lengths:
+            if len(word) >= n and word[:n] in self.pairs:
+                return OTHER, float(n)  # a form of a stem that needs a second one
         return OTHER, 0.0
 
     def _class(self, word: str) -> tuple[int, float]:
@@ -122,6 +129,7 @@ class Scorer:
     def clauses(self, text: str):
         """Weight of each clause that has an insult or a threat with a target."""
         state, weight, insult, bonus = 0, 0.0, 0.0, False
+        forms: dict[str, str] = {}  # stem -> its first form in this text, or "" once there was another
         for token in TOKEN(text.lower()):
             if token in STOPS:
                 if insult or bonus:
@@ -129,6 +137,11 @@ class Scorer:
                 state, weight, insult, bonus = 0, 0.0, 0.0, False
                 continue
             kind, own = self._class(token)
+            if kind == OTHER and own:
+                stem = token[: int(own)]
+                if forms.setdefault(stem, token) != token:
+                    forms[stem] = ""
+                    kind, own = INSULT, self.pairs[stem]
             if kind != OTHER:
                 state, gain = self.machine.step(state, kind)
                 weight += gain
@@ -161,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
             for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 ws = set(TOKEN(text.lower()))
                 found = {w for w in ws if len(w) > 2}
-                found.update(w[:n] + "*" for w in ws for n in STEMS if len(w) >= n)
+                forms = Counter(w[:n] for w in ws for n in STEMS if len(w) >= n)
+                found.update(f"{s}*" for s in forms)
+                found.update(f"{s}**" for s, n in forms.items() if n > 1)
                 found.add("")  # counts the documents
                 counts[toxic].update(found)
             neg, pos = counts
@@ -172,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
     # Copies count once: the words of a much copied text say nothing about its label.
     train = train.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     counts = train.mapInArrow(features, out.schema).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # Twenty toxic texts for a clean one at least: weaker entries carry topic, not toxicity.
+    # Ten toxic texts for a clean one at least: weaker entries carry topic, not toxicity.
     useful = counts.filter((F.col("entry") == "") | (F.col("pos") >= SUPPORT) & (F.col("pos") >= PURITY * F.col("neg")))
     found = useful.orderBy(F.desc(F.col("entry") == ""), F.desc("pos"), "entry").limit(entries + 1).collect()
     if not found or found[0].entry != "" or not found[0].pos or not found[0].neg:
