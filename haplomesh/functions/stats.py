@@ -126,62 +126,73 @@ def hwe_column(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     return hwe(hom_ref, het, hom_alt)
 
 
+NINE = [f"g{i}{j}" for i in range(3) for j in range(3)]
+ADDED = "individuals double, p_a double, q_b double, f11 double, chisq_model double, multiple_roots boolean, no_double_het boolean, ref_ref double, ref_alt double, alt_ref double, alt_alt double"
+
+
+def haplotype_roots(g: np.ndarray) -> dict[str, np.ndarray]:
+    """REF-REF haplotype frequency and its fit for rows of nine genotype cells; NaN where no root is valid."""
+    n = g.sum(1)
+    het = g[:, 4]
+    p = (2 * g[:, :3].sum(1) + g[:, 3:6].sum(1)) / (2 * n)
+    q = (2 * g[:, 0::3].sum(1) + g[:, 1::3].sum(1)) / (2 * n)
+    known = 2 * g[:, 0] + g[:, 1] + g[:, 3]
+    a = 4 * n
+    b = 2 * n * (1 - 2 * p - 2 * q) - 2 * known - het
+    c = -known * (1 - 2 * p - 2 * q) - het * (1 - p - q) + 2 * n * p * q
+    d = -known * p * q
+    x, w = -b / (3 * a), (b * b - 3 * a * c) / (9 * a * a)
+    y, h2 = a * x**3 + b * x * x + c * x + d, 4 * a * a * w**3
+    roots = np.full((len(g), 3), np.nan)
+    three, one, plain = (y * y < h2) & (het > 0), (y * y > h2) & (het > 0), het == 0
+    twice = ~(three | one | plain)
+    delta = np.sqrt(np.maximum(w, 0))
+    side = np.sqrt(np.maximum(y * y - h2, 0))
+    with np.errstate(all="ignore"):
+        angle = np.arccos(np.clip(-y / (2 * a * delta**3), -1, 1)) / 3
+    for k in range(3):
+        roots[three, k] = (x + 2 * delta * np.cos(angle + k * 2 * np.pi / 3))[three]
+    roots[one, 0] = (x + np.cbrt((-y + side) / (2 * a)) + np.cbrt((-y - side) / (2 * a)))[one]
+    mu = np.cbrt(y / (2 * a))
+    roots[twice, 0], roots[twice, 1] = (x + mu)[twice], (x - 2 * mu)[twice]
+    roots[plain, 0] = (known / (2 * n))[plain]
+    low, high = (known / (2 * n) - 1e-5)[:, None], ((known + het) / (2 * n) + 1e-5)[:, None]
+    roots[~((roots >= low) & (roots <= high))] = np.nan
+    f00, f01, f10, f11 = roots, p[:, None] - roots, q[:, None] - roots, 1 - p[:, None] - q[:, None] + roots
+    expected = [f00 * f00, 2 * f00 * f01, f01 * f01, 2 * f00 * f10, 2 * f01 * f10 + 2 * f00 * f11, 2 * f01 * f11, f10 * f10, 2 * f10 * f11, f11 * f11]
+    chi = np.zeros_like(roots)
+    for k, e in enumerate(expected):
+        e = n[:, None] * e
+        with np.errstate(all="ignore"):
+            chi += np.where(e > 0, (g[:, k, None] - e) ** 2 / e, 0.0)
+    chi[np.isnan(roots)] = np.inf
+    best = chi.argmin(1)
+    at = np.arange(len(g))
+    f = roots[at, best]
+    return {
+        "individuals": n, "p_a": p, "q_b": q, "f11": f, "chisq_model": chi[at, best], "multiple_roots": (~np.isnan(roots)).sum(1) > 1, "no_double_het": plain,
+        "ref_ref": f * 2 * n, "ref_alt": (p - f) * 2 * n, "alt_ref": (q - f) * 2 * n, "alt_alt": (1 - p - q + f) * 2 * n,
+    }
+
+
 def with_unphased_haplotypes(cells9: DataFrame) -> DataFrame:
     """2x2 haplotype cells from 3x3 genotype cells ``g00 .. g22`` (rows A, columns B; 0/0, 0/1, 1/1).
 
     The frequency of the REF-REF haplotype is a root of the likelihood's cubic.
     Of the valid roots that with the least chi-squared of the 3x3 table is
     taken. Tables without double heterozygotes need no cubic. Rows without a
-    valid root are dropped.
+    valid root, or without individuals, are dropped. The roots are found in
+    Arrow batches: as column expressions they are repeated in one another and
+    the plan grows beyond what can be compiled.
     """
-    g = {f"g{i}{j}": F.col(f"g{i}{j}").cast("double") for i in range(3) for j in range(3)}
-    out = cells9.withColumn("individuals", sum(g.values(), F.lit(0.0)))
-    n = F.col("individuals")
-    out = out.filter(n > 0)
-    het = g["g11"]
-    out = out.withColumn("p_a", (2 * (g["g00"] + g["g01"] + g["g02"]) + g["g10"] + g["g11"] + g["g12"]) / (2 * n))
-    out = out.withColumn("q_b", (2 * (g["g00"] + g["g10"] + g["g20"]) + g["g01"] + g["g11"] + g["g21"]) / (2 * n))
-    out = out.withColumn("known", 2 * g["g00"] + g["g01"] + g["g10"])
-    p, q, known = F.col("p_a"), F.col("q_b"), F.col("known")
-    a = 4 * n
-    b = 2 * n * (1 - 2 * p - 2 * q) - 2 * known - het
-    c = -known * (1 - 2 * p - 2 * q) - het * (1 - p - q) + 2 * n * p * q
-    d = -known * p * q
-    out = out.withColumn("_a", a).withColumn("_b", b).withColumn("_c", c).withColumn("_d", d)
-    a, b, c, d = (F.col(x) for x in ("_a", "_b", "_c", "_d"))
-    out = out.withColumn("_x", -b / (3 * a)).withColumn("_w", (b * b - 3 * a * c) / (9 * a * a))
-    x, w = F.col("_x"), F.col("_w")
-    out = out.withColumn("_y", a * x * x * x + b * x * x + c * x + d).withColumn("_h2", 4 * a * a * w * w * w)
-    y, h2 = F.col("_y"), F.col("_h2")
-    cbrt = F.cbrt
-    side = F.sqrt(F.greatest(y * y - h2, F.lit(0.0)))
-    single = x + cbrt((-y + side) / (2 * a)) + cbrt((-y - side) / (2 * a))
-    delta = F.sqrt(F.greatest(w, F.lit(0.0)))
-    h = 2 * a * delta * delta * delta
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -y / F.nullif(h, F.lit(0.0))))) / 3
-    three = F.array(*[x + 2 * delta * F.cos(angle + k * 2 * np.pi / 3) for k in range(3)])
-    mu = cbrt(y / (2 * a))
-    roots = F.when(y * y < h2, three).when(y * y > h2, F.array(single)).otherwise(F.array(x + mu, x - 2 * mu))
-    roots = F.when(het == 0, F.array(known / (2 * n))).otherwise(roots)
-    low, high = known / (2 * n) - 1e-5, (known + het) / (2 * n) + 1e-5
-    out = out.withColumn("_roots", F.filter(roots, lambda f: (f >= low) & (f <= high)))
-
-    def chi(f: Column) -> Column:
-        f00, f01, f10, f11 = f, p - f, q - f, 1 - p - q + f
-        expected = {
-            "g00": f00 * f00, "g01": 2 * f00 * f01, "g02": f01 * f01,
-            "g10": 2 * f00 * f10, "g11": 2 * f01 * f10 + 2 * f00 * f11, "g12": 2 * f01 * f11,
-            "g20": f10 * f10, "g21": 2 * f10 * f11, "g22": f11 * f11,
-        }
-        total = F.lit(0.0)
-        for k, e in expected.items():
-            total = total + F.when(e > 0, (g[k] - n * e) * (g[k] - n * e) / F.nullif(n * e, F.lit(0.0))).otherwise(0.0)
-        return total
-
-    scored = F.transform("_roots", lambda f: F.struct(chi(f).alias("chisq_model"), f.alias("f11")))
-    out = out.withColumn("_best", F.array_min(scored)).filter("_best IS NOT NULL")
-    f = F.col("_best.f11")
-    two = 2 * n
-    out = out.withColumn("f11", f).withColumn("chisq_model", F.col("_best.chisq_model")).withColumn("multiple_roots", F.size("_roots") > 1).withColumn("no_double_het", het == 0)
-    out = out.withColumn("ref_ref", f * two).withColumn("ref_alt", (p - f) * two).withColumn("alt_ref", (q - f) * two).withColumn("alt_alt", (1 - p - q + f) * two)
-    return out.drop("_a", "_b", "_c", "_d", "_x", "_w", "_y", "_h2", "_roots", "_best", "known")
+    fields = [f"{n} {t}" for n, t in cells9.dtypes] + ADDED.split(", ")
+
+    def run(frames):
+        for pdf in frames:
+            g = pdf[NINE].to_numpy(np.float64)
+            pdf = pdf[g.sum(1) > 0].reset_index(drop=True)
+            if len(pdf):
+                out = pd.concat([pdf, pd.DataFrame(haplotype_roots(pdf[NINE].to_numpy(np.float64)))], axis=1)
+                yield out[out.f11.notna()]
+
+    return cells9.mapInPandas(run, ", ".join(fields))
