@@ -89,18 +89,21 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums of an int array up to each place, by doubling strides: n log n steps, where growing an array takes n squared."""
+
+    def add(sums: Column, level: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), level)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths))).cast("int")), lengths, add)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Array of (start, end, kind) of one kind's counted spans, in code points from 0, end exclusive."""
     pieces = F.split(F.regexp_replace(text, f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK)  # odd places are matches
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int,kind:string,hit:string>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        hit = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("hit")))
-        out = F.when(acc["n"] % 2 == 1, F.concat(acc["out"], hit)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (acc["n"] + 1).alias("n"), out.alias("out"))
-
-    found = F.filter(F.aggregate(pieces, start, step)["out"], lambda s: confirmed(kind, s["hit"]))
+    placed = F.zip_with(pieces, running_sums(F.transform(pieces, F.length)), lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.alias("hit")))
+    found = F.filter(placed, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))
     if kind in SCORE:
         sure, more = SCORE[kind]
 
@@ -110,7 +113,7 @@ def spans_of(kind: str, text: Column) -> Column:
             return F.lit(sure) + F.when(near.rlike(CONTEXT[kind]), more).otherwise(0.0) >= LEAST
 
         found = F.filter(found, scored)
-    found = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))
+    found = F.transform(found, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind")))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     hint = text.contains(NEEDED[kind]) if kind in NEEDED else F.lit(True)
     needed = hint & (text.rlike(PATTERNS[kind]) if kind in ("card", "iban") else F.lit(True))

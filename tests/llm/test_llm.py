@@ -182,7 +182,7 @@ def brute_pii(t):
 
 def test_pii(spark, docs):
     rng = random.Random(5)
-    texts = ["", None, "a@b.c_x@d.e", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (386) 555-3733", "0001.002.3.255", "9" * 20_000, "a" * 20_000, "é😀 a@b.co\x01x"]
+    texts = ["", None, "a@b.c_x@d.e", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (386) 555-3733", "0001.002.3.255", "9" * 20_000, "a" * 20_000, "é😀 a@b.co\x01x", "a@b.co 1.2.3.4 " * 5_000]
     texts += ["".join(rng.choice("ab@..-+ 0123456789()_%é\x01") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.pii_report(df).collect():
