@@ -102,8 +102,13 @@ def running_sums(lengths: Column) -> Column:
 def spans_of(kind: str, text: Column) -> Column:
     """Array of (start, end, kind) of one kind's counted spans, in code points from 0, end exclusive."""
     pieces = F.split(F.regexp_replace(text, f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK)  # odd places are matches
-    placed = F.zip_with(pieces, running_sums(F.transform(pieces, F.length)), lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.alias("hit")))
-    found = F.filter(placed, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))
+
+    def placed(ps: Column) -> Column:
+        ends = running_sums(F.transform(ps, F.length))
+        return F.zip_with(ps, ends, lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.alias("hit")))
+
+    once = F.transform(F.array(pieces), placed)[0]  # binds the pieces, so that the pattern runs once
+    found = F.filter(once, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))
     if kind in SCORE:
         sure, more = SCORE[kind]
 
