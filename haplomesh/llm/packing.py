@@ -164,13 +164,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
         from pyspark import TaskContext
 
         tok = cached(vocabulary)
-        end = np.asarray([end_id], "<u4").tobytes()
         packer = Packer(tokens, segments, loss, window, TaskContext.get().partitionId() << 40)
         for batch in small_batches(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tok.encode(text) + end
-                out.extend(packer.add(Piece(doc_id, 0, ids, len(ids) // 4)))
+            found, first = tok.encode_column(batch.column(1), end_id)
+            data, at = found.tobytes(), (4 * first).tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:], strict=False):
+                out.extend(packer.add(Piece(doc_id, 0, data[a:b], (b - a) // 4)))
             if out:
                 yield rows.batch(*zip(*out))
         if out := list(packer.finish()):

@@ -151,13 +151,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_
         ctx = TaskContext.get()
         store, base = pafs.FileSystem.from_uri(path)
         tok = cached(vocabulary)
-        end = np.asarray([end_id], "<u4").tobytes()
-        doc_ids, parts, held, seq = [], [], 0, 0
+        doc_ids, lengths, parts, held, seq = [], [], [], 0, 0
 
         def flush():
-            lengths = np.asarray([len(p) // 4 for p in parts], np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            data = dac_file(doc_ids, starts, np.frombuffer(b"".join(parts), "<u4"))
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+            data = dac_file(doc_ids, starts, np.concatenate(parts))
             name = f"{base}/part-{ctx.partitionId():06d}-{seq:04d}.dac"
             temp = f"{name}.{ctx.taskAttemptId()}.tmp"
             with store.open_output_stream(temp) as out:
@@ -166,14 +164,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_
             return rows.batch([ctx.partitionId()], [name.rpartition("/")[2]], [len(doc_ids)], [int(starts[-1])])
 
         for batch in small_batches(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tok.encode(text) + end
-                doc_ids.append(doc_id)
-                parts.append(ids)
-                held += len(ids) // 4
+            ids, first = tok.encode_column(batch.column(1), end_id)
+            batch_ids, lo = batch.column(0).to_pylist(), 0
+            while lo < batch.num_rows:  # up to the text that fills the file
+                hi = min(int(np.searchsorted(first, first[lo] + file_tokens - held)), batch.num_rows)
+                doc_ids += batch_ids[lo:hi]
+                lengths.append(np.diff(first[lo : hi + 1]))
+                parts.append(ids[first[lo] : first[hi]])
+                held += int(first[hi] - first[lo])
                 if held >= file_tokens:
                     yield flush()
-                    doc_ids, parts, held, seq = [], [], 0, seq + 1
+                    doc_ids, lengths, parts, held, seq = [], [], [], 0, seq + 1
+                lo = hi
         if doc_ids:
             yield flush()
 

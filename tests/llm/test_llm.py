@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,22 @@ def test_cached_tokenizer_equals_library(name):
         assert tok.encode(t) == tok.full(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_column_encoding_equals_library(name):
+    tok, rng = CachedTokenizer(default_path(name), most=50), random.Random(3)
+    parts = ["Haus", "straße", "the", "µÀ", "a\nb", "x,\ny.", "\nz", "w\n", "it's", "12", "!?", "中", "Σίς", "", "", "<|endoftext|>", "\x1c", "é\n\né", "word" * 40]
+    texts = ["", " ", "\n", "a", *(" ".join(rng.choices(parts[: rng.choice([6, 13, len(parts)])], k=rng.randint(0, 12))) for _ in range(1500))]
+    texts += ["".join(rng.choice("aB é.,'\n\t 1 sßñİΣ中<|\x1c") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    for lo in (0, 3):  # a slice begins inside its buffer
+        for end in (None, 7):
+            ids, first = tok.encode_column(pa.array(texts)[lo:], end)
+            assert len(first) == len(texts) - lo + 1 and first[-1] == len(ids)
+            for k, t in enumerate(texts[lo:]):
+                assert ids[first[k] : first[k + 1]].tolist() == tok.tok.encode(t, add_special_tokens=False).ids + [7] * (end is not None), repr(t)
+    ids, first = tok.encode_column(pa.array([], pa.string()), 7)
+    assert len(ids) == 0 and first.tolist() == [0]
+
+
 def test_bpe_equals_tiktoken(docs, rows):
     import base64
 
