@@ -89,14 +89,19 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of an int array up to each place, by doubling strides: n log n steps, where growing an array takes n squared."""
+def running(values: Column, join) -> Column:
+    """``join`` of an int array's values up to each place, by doubling strides: n log n steps, where growing an array takes n squared."""
 
     def add(sums: Column, level: Column) -> Column:
         back = F.call_function("shiftleft", F.lit(1), level)
-        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+        return F.transform(sums, lambda x, i: F.when(i >= back, join(x, F.get(sums, i - back))).otherwise(x))
 
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths))).cast("int")), lengths, add)
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), values, add)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -104,10 +109,10 @@ def spans_of(kind: str, text: Column) -> Column:
     pieces = F.split(F.regexp_replace(text, f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK)  # odd places are matches
 
     def placed(ps: Column) -> Column:
-        ends = running_sums(F.transform(ps, F.length))
+        ends = running(F.transform(ps, F.length), lambda x, y: x + y)
         return F.zip_with(ps, ends, lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.alias("hit")))
 
-    once = F.transform(F.array(pieces), placed)[0]  # binds the pieces, so that the pattern runs once
+    once = bound(pieces, placed)  # so that the pattern runs once
     found = F.filter(once, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))
     if kind in SCORE:
         sure, more = SCORE[kind]
@@ -156,15 +161,20 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span's text replaced by its kind in brackets; same columns."""
     spans = F.array_sort(F.concat(*[F.col(f"_pii.{k}") for k in KINDS]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = F.concat(acc["out"], before, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def joined(both: Column) -> Column:
+        chars, found, done = both["chars"], both["found"], both["done"]  # done: where the spans up to each one end
+
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(done, i - 1)).otherwise(0)
+            before = F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            return F.when(s["start"] >= at, F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        last = F.get(done, F.size(done) - 1)
+        return F.concat(F.array_join(F.transform(found, part), ""), F.array_join(F.slice(chars, last + 1, F.size(chars) - last), ""))
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    ends = bound(spans, lambda f: F.struct(f.alias("found"), running(F.transform(f, lambda s: s["end"]), F.greatest).alias("done")))
+    clean = bound(F.struct(F.split(text, "(?s)(?<=.)(?=.)").alias("chars"), ends["found"].alias("found"), ends["done"].alias("done")), joined)
     has = F.greatest(*[F.size(f"_pii.{k}") for k in KINDS]) > 0
     names = docs.columns
     found = find_pii(docs, text_col)

@@ -368,3 +368,11 @@ def test_pipeline_stages(spark, rows):
     assert red.columns == docs.columns and red.count() == far.count()
     assert {r.doc_id for r in pipeline.pack(spark, red, base).collect()} == {r.doc_id for r in red.collect()}
     assert [n.split("_")[0] for n in queries()] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_redaction_of_many_matches_and_wide_characters(spark):
+    n = 20_000
+    rows = [(1, "wörd 😀 a.b@c.org, " * n), (2, "\n\n😀 1.2.3.4"), (3, "x +1.2.3.4.55.66.77 a+1@1.2.3.4"), (4, None), (5, "😀")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(1) == "wörd 😀 [EMAIL], " * n
+    assert got == {2: "\n\n😀 [IP]", 3: "x [PHONE] [EMAIL]", 4: None, 5: "😀"}
