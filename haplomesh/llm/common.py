@@ -41,6 +41,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished writes now: it does so when the driver's JVM collects their plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system through Spark's own Hadoop client."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

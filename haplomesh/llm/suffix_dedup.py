@@ -4,16 +4,16 @@ Only suffixes that begin at minimisers of word k-grams are kept: with a window
 of ``least - k + 1`` positions, every passage of ``least`` words that two texts
 share holds a minimiser of both at the same place. Suffixes whose k-gram occurs
 once are dropped; the rest, with the words that follow and precede them, are
-sorted by (k-gram, words that follow, document, place) over range partitions,
-so that a passage in many documents spreads over tasks. Each suffix is compared
-with its neighbours in that order, and with its neighbours in the order of the
-words that precede, and matches are extended to the right and to the left. A
+sorted twice over range partitions, by (k-gram, words that follow, document,
+place) and by (k-gram, words that precede, document, place), so that a passage
+in many documents spreads over tasks. Each suffix is compared with its
+neighbours in both orders, and matches are extended to the right and left. A
 match of ``least`` words or more marks its place in both documents; the places
 of one document are united. A passage longer than the carried words is covered
 by its further minimisers, which lie less than a window apart.
 
-The first and last suffix of each partition are compared in a second, small
-step, so no neighbours are missed.
+In each order the first and last suffix of each partition are compared in a
+second, small step, so no neighbours are missed.
 
 Words are runs of characters other than white space; positions are word
 numbers from 0, ends exclusive. Odd input: null and empty texts, and texts
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, materialise, small_batches
+from .common import Rows, id_and_text, materialise, release_shuffles, small_batches
 from .shingles import grams, word_hashes
 
 LEAST, K = 50, 16
@@ -119,8 +119,18 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
                 yield suffix.batch(grams(h, k)[at].view(np.int64), [x.tobytes() for x in right], [doc_id] * len(at), at, [x.tobytes() for x in left.astype(">u4")])
 
     suffixes = materialise(joined.mapInArrow(cut, suffix.schema), "suffixes")
+    release_shuffles(spark)
+    by_right = neighbour_spans(suffixes, "right", reach, least)
+    release_shuffles(spark)
+    spans = by_right.unionByName(neighbour_spans(suffixes, "left", reach, least))
+    return united(spans).filter(F.col("length") >= least)
+
+
+def neighbour_spans(suffixes: DataFrame, context: str, reach: int, least: int) -> DataFrame:
+    """``doc_id, start, end, other`` of the matches between neighbours in the order of (gram, ``context``, doc, pos)."""
+    spark = suffixes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["gram", "right", "doc_id", "pos"]
+    order = ["gram", context, "doc_id", "pos"]
     ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     span = Rows(doc_id="long", start="long", end="long", other="long", edge="long", gram="long", right="binary", left="binary")
 
@@ -150,16 +160,13 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
                 key, right, left, doc, pos = columns(table)
                 n = np.arange(len(key) - 1)
                 yield spans(compare(key, right, left, doc, pos, n, n + 1, least))
-                # The same suffixes by the words that precede them.
-                by_left = np.lexsort([doc, *(left[:, c] for c in range(min(8, reach) - 1, -1, -1)), key])
-                yield spans(compare(key, right, left, doc, pos, by_left[:-1], by_left[1:], least))
                 last = table.slice(table.num_rows - 1, 1)
         for side, row in ((0, first), (1, last)):
             if row is not None:
                 r = row.to_pylist()[0]
                 yield span.batch([r["doc_id"]], [r["pos"]], [0], [0], [2 * part + side], [r["gram"]], [r["right"] or empty[0]], [r["left"] or empty[0]])
 
-    found = materialise(ordered.mapInArrow(neighbours, span.schema), "spans")
+    found = materialise(ordered.mapInArrow(neighbours, span.schema), f"spans-{context}")
     edges = found.filter("edge IS NOT NULL").select("gram", "right", "doc_id", F.col("start").cast("int").alias("pos"), "left", "edge")
     edges = edges.repartition(1).sortWithinPartitions("edge")  # two rows a partition
     plain = Rows(doc_id="long", start="long", end="long", other="long")
@@ -176,8 +183,7 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
                 yield plain.batch(*compare(key, right, left, doc, pos, n, n + 1, least))
             last = table.slice(table.num_rows - 1, 1)
 
-    spans = found.filter("edge IS NULL").select("doc_id", "start", "end", "other").unionByName(edges.mapInArrow(across, plain.schema))
-    return united(spans).filter(F.col("length") >= least)
+    return found.filter("edge IS NULL").select("doc_id", "start", "end", "other").unionByName(edges.mapInArrow(across, plain.schema))
 
 
 def united(spans: DataFrame) -> DataFrame:

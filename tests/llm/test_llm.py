@@ -259,6 +259,17 @@ def test_suffix_dedup(docs, rows):
     assert got == want and 110 in got
 
 
+def test_suffix_dedup_of_repeats_that_reach_to_the_left(spark):
+    rng = random.Random(3)
+    plate = sentence(rng, 34)  # in every document; pairs also share the 16 words before it
+    pairs = [sentence(rng, 16) for _ in range(50)]
+    ids = rng.sample(range(300), 300)
+    before = {d: pairs[k // 2] if k < 100 else sentence(rng, 16) for k, d in enumerate(ids)}
+    table = [(d, f"{sentence(rng, 30)} {before[d]} {plate} {sentence(rng, 60)}") for d in range(300)]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.length) for r in found} == {(d, 30, 50) for d in ids[:100]}
+
+
 def shingles(t):
     w = re.findall(r"\w+", (t or "").lower())
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
