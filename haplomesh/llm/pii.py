@@ -9,7 +9,7 @@ a match starts at a run's first character or where the last match ended, keep
 the work linear in the text.
 
 Base kinds (email, ip, card, phone) count without regard to context. The added
-kinds are iban (mod-97) and ssn (three-two-four digits with a context word).
+kinds are iban (its country's length, mod-97) and ssn (three-two-four digits with a context word).
 
 Odd input: null and empty texts give no spans; a text may hold the mark
 characters themselves (they are read as another control character of the same
@@ -24,6 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
+#: The characters of a bank account number by country, of the IBAN registry and of the countries that use it unregistered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 #: The base kinds' patterns, with possessive repeats where nothing can be given back.
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -31,7 +39,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b",
+    "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -106,11 +114,14 @@ def bound(value: Column, use) -> Column:
 
 def spans_of(kind: str, text: Column) -> Column:
     """Array of (start, end, kind) of one kind's counted spans, in code points from 0, end exclusive."""
-    pieces = F.split(F.regexp_replace(text, f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK)  # odd places are matches
+    copied = kind == "iban"  # matches are copied before their place, so that one which fails mod-97 hides none that begins inside it
+    pattern = rf"(?=({PATTERNS[kind]}))" if copied else f"({PATTERNS[kind]})"
+    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$1{MARK}"), MARK)  # odd places are matches
 
     def placed(ps: Column) -> Column:
-        ends = running(F.transform(ps, F.length), lambda x, y: x + y)
-        return F.zip_with(ps, ends, lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), p.alias("hit")))
+        ends = running(F.transform(ps, lambda p, i: F.when(i % 2 == 0, F.length(p)).otherwise(0) if copied else F.length(p)), lambda x, y: x + y)
+        start = (lambda p, end: end) if copied else (lambda p, end: end - F.length(p))
+        return F.zip_with(ps, ends, lambda p, end: F.struct(start(p, end).alias("start"), (start(p, end) + F.length(p)).alias("end"), p.alias("hit")))
 
     once = bound(pieces, placed)  # so that the pattern runs once
     found = F.filter(once, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))

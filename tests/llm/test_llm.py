@@ -230,6 +230,21 @@ def test_transport_stream(docs, rows):
         assert r.payload_sha256 == hashlib.sha256(want[r.doc_id]).hexdigest() and r.payload_bytes == len(want[r.doc_id]) and r.tail_crc32 == zlib.crc32(want[r.doc_id][-16:])
 
 
+def test_iban_before_capitals_and_digits(spark):
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"{de} Please", [de]), (f"IBAN {spaced} BIC COBADEFF", [spaced]), (f"{gb} 2024", [gb]), (f"{de} {gb} A", [de, gb]),
+        (f"AT12 {spaced} BIC", [spaced]), (f"é {spaced} {spaced}1 {gb}", [spaced, gb]), (f"{de}0", []), ("DE88370400440532013000 Please", []),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_report(df).collect()}
+    for k, (t, want) in enumerate(cases):
+        spans = [x.split(":") for x in got[k].split(",") if x.startswith("iban")]
+        assert [t[int(a) : int(b)] for _, a, b in spans] == want, t
+    assert [r.text for r in pii.redact(df.filter("doc_id = 3")).collect()] == ["[IBAN] [IBAN] A"]
+
+
 def test_license_rules():
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. Something else here. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
     assert [n for n, _, _ in license_scan.scan("Intro.\n" + mit)] == ["MIT"]
