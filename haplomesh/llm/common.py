@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,25 +21,77 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made once and kept in the session.
+    Where the setting is absent a session on one machine gets a temporary folder
+    once; on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="haplomesh-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []  # folders made within each open scratch block
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = new_folder(df.sparkSession, name)
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    The table goes when the application ends, or at the end of the innermost
+    open :func:`scratch` block.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made inside go at the end of the block, but for those that were given to ``keep``.
+
+    Only results that no later plan reads may be left to go: whatever leaves the
+    block is written inside it and kept.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        kept = made.pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(kept)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        release_shuffles(spark)
+        for path in made:
+            drop_folder(spark, path)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value):
+    """A session setting within a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -46,10 +99,28 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system through Spark's own Hadoop client."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or its first variant that no column has (Spark compares names without case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def mark(text: Column) -> Column:
+    """64-bit hash of a text as it is; beside its ``doc_id`` it tells apart the rows that repeat the id."""
+    return F.xxhash64(text)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 
 def _star(both: DataFrame, large: bool) -> DataFrame:
@@ -21,27 +21,28 @@ def _star(both: DataFrame, large: bool) -> DataFrame:
     return joined.select(F.col("other").alias("a"), F.col("low").alias("b")).union(least.select(F.col("node").alias("a"), F.col("low").alias("b")))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of ``edges``; the component is its least node.
 
     Each round is written to the shared folder, so that a lost executor costs
-    one round. Loops and repeated edges are allowed; null ends are dropped.
+    one round, and the tables of the round before go. The rounds end when the
+    edges no longer change: the sum of the edges' lower ends falls in every
+    other round, so there is an end. Loops and repeated edges are allowed; null
+    ends are dropped.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     state = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if state.isEmpty():
         return nodes.select("node", F.col("node").alias("component"))
-    before = None
-    for _ in range(most_rounds):
-        both = state.select(F.col("a").alias("node"), F.col("b").alias("other")).union(state.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        grown = materialise(_star(both, True).filter("a <> b").distinct(), "large")
-        down = grown.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        state = materialise(_star(down, False).filter("a <> b").distinct(), "small")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).head()
-        if now == before:
-            break
+    before, now = None, ()
+    while now != before:
         before = now
-    else:
-        raise RuntimeError("components did not settle")
+        with scratch(spark) as keep:
+            both = state.select(F.col("a").alias("node"), F.col("b").alias("other")).union(state.select(F.col("b").alias("node"), F.col("a").alias("other")))
+            grown = materialise(_star(both, True).filter("a <> b").distinct(), "large")
+            down = grown.select(F.col("a").alias("node"), F.col("b").alias("other"))
+            state = keep(_star(down, False).filter("a <> b").distinct(), "small")
+        now = state.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).head()
     return nodes.join(state.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
