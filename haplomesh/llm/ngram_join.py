@@ -3,18 +3,23 @@
 Rows with one shingle set form a class. Each class has a signature of
 ``bands * rows`` minima; the two counts are chosen so that a pair at the
 threshold meets in a band with the target recall. Classes are shuffled on their
-band hashes; the links within a bucket become a star, so a bucket of m classes
-gives m - 1 edges and no pairs. Connected classes form a candidate group, whose
-full n-gram sets are compared in square tiles of bounded size: every pair of a
-group meets in exactly one tile, and a tile gives counts and a forest of links,
-not pairs. ``n_links`` counts all other rows with similarity of at least the
-threshold, copies included. Sets are of 64-bit hashes of the n-grams.
+band hashes. Every pair of classes that meet in a bucket is a candidate, and its
+full n-gram sets are compared. So that neither sets nor pairs are copied for
+each bucket, a class has one home, its largest bucket, whose classes are dealt
+to blocks of bounded size; two blocks that meet in some bucket are compared in
+one square tile, a block that has two classes or more in a tile with itself.
+Each candidate pair lies in exactly one tile, chains of buckets never grow a
+tile, and a tile gives counts and a forest of links, not pairs. ``n_links``
+counts all other rows with similarity of at least the threshold, copies
+included. Sets are of 64-bit hashes of the n-grams.
 
 Odd input: null and empty texts, and texts without a word, have no n-grams:
 each is a class of its own without links. Texts of fewer than ``n`` words have
 one n-gram, the whole text. Rows of null ``doc_id`` stay, with null class and
-group and no links; rows that repeat a ``doc_id`` are rows like others (two with
-one text link to each other). An empty table gives no rows.
+group and no links; rows that repeat a ``doc_id`` are rows like others, each by
+its own text (two with one text link to each other). Very long texts weigh in
+the size of a block, which is bounded by n-grams too. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -26,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, materialise, small_batches
+from .common import Rows, fresh, id_and_text, mark, materialise, small_batches
 from .components import connected_components
 from .shingles import grams, mixed, word_hashes, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 SECOND = np.uint64(0x5851F42D4C957F2D)
-TILE = 64  # classes on a side of a tile at least; the root of the group where that is more
+TILE = 64  # classes of a block at most; the root of its home's classes where that is more
+BLOCK_GRAMS = 1 << 21  # n-grams of a block, about
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 6) -> tuple[int, int]:
@@ -67,12 +73,6 @@ def shingle_set(text: str, n: int = N) -> np.ndarray:
     return np.unique(grams(word_hashes(words(text)), n))
 
 
-def set_marks(s: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit sums that identify a set."""
-    two = np.array([mixed(s).sum(), mixed(s ^ SECOND).sum()], np.uint64).view(np.int64)
-    return int(two[0]), int(two[1])
-
-
 def runs(batches, width: int):
     """(key, other values of its rows) for each run of rows with equal leading ``width`` columns."""
     key, rows_ = None, []
@@ -88,8 +88,8 @@ def runs(batches, width: int):
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, set_hash, size, bands``: two words that identify the set, its size, its band hashes."""
-    out = Rows(doc_id="long", set_hi="long", set_lo="long", size="long", bands="array<long>")
+    """``doc_id, mark, set_hi, set_lo, size, bands``: the text's hash, two words that identify the set, its size, its band hashes."""
+    out = Rows(doc_id="long", mark="long", set_hi="long", set_lo="long", size="long", bands="array<long>")
 
     def run(batches):
         minhash = MinHash(bands, rows)
@@ -106,9 +106,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 high[full] = np.add.reduceat(mixed(flat), starts)
                 low[full] = np.add.reduceat(mixed(flat ^ SECOND), starts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
-            yield out.batch(batch.column(0), high.view(np.int64), low.view(np.int64), sizes, lists)
+            yield out.batch(batch.column(0), batch.column(2), high.view(np.int64), low.view(np.int64), sizes, lists)
 
-    return id_and_text(docs).mapInArrow(run, out.schema)
+    return id_and_text(docs).withColumn("mark", mark(F.col("text"))).mapInArrow(run, out.schema)
 
 
 def link_tile(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -177,12 +177,36 @@ def forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """``class_id, group`` of the classes that meet another in some band."""
-    bands = classes.select("class_id", F.explode("bands").alias("hash"))
-    low = bands.groupBy("hash").agg(F.min("class_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = bands.join(materialise(low, "buckets"), "hash").filter("class_id <> low").select(F.col("class_id").alias("a"), F.col("low").alias("b"))
-    return connected_components(edges).withColumnRenamed("node", "class_id").withColumnRenamed("component", "group")
+def blocks_and_tiles(classes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of the classes that meet another in some band, and (block, x, y): the tiles that a block goes to.
+
+    A home's classes are dealt by hash, so a bucket of m classes has about
+    sqrt(m) blocks and proportionally many tiles.
+    """
+    bands = classes.select("node", F.explode("bands").alias("hash"))
+    sizes = materialise(bands.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    met = materialise(bands.join(sizes, "hash"), "met")
+    homes = met.groupBy("node").agg(F.max(F.struct("m", "hash")).alias("s")).select("node", F.col("s.hash").alias("home"))
+    homes = materialise(homes.join(classes.select("node", "size"), "node"), "homes")
+    n, grams_ = F.count(F.lit(1)), F.sum("size")
+    sides = F.greatest(F.ceil(n / F.greatest(F.lit(tile), F.sqrt(n))), F.ceil(grams_ / BLOCK_GRAMS)).cast("long")
+    sides = materialise(homes.groupBy("home").agg(sides.alias("side")), "sides")
+    blocks = homes.join(sides, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("side"))).alias("block"))
+    blocks = materialise(blocks, "blocks")
+    seen = materialise(met.select("hash", "node").join(blocks, "node").select("hash", "block").distinct(), "seen")
+    many = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("hash")
+    shared = materialise(seen.join(many, "hash"), "shared")
+    pairs = shared.select("hash", F.col("block").alias("x")).join(shared.select("hash", F.col("block").alias("y")), "hash").filter("x < y").select("x", "y").distinct()
+    pairs = materialise(pairs, "tiles")
+    own = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("block", F.col("block").alias("x"), F.col("block").alias("y"))
+    return blocks, own.unionByName(pairs.select(F.explode(F.array("x", "y")).alias("block"), "x", "y"))
+
+
+def single_texts(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """``doc_id, mark, text``; rows that repeat both id and text are one where there are any."""
+    texts = id_and_text(docs).withColumn("mark", mark(F.col("text")))
+    again = base.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return texts if again.isEmpty() else texts.dropDuplicates(["doc_id", "mark"])
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
@@ -195,50 +219,40 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     base = materialise(signatures(docs, n, bands, rows), "signatures")
     shape = ["set_hi", "set_lo", "size"]
     known = base.filter("doc_id IS NOT NULL AND size > 0")
-    classes = known.groupBy(*shape).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = known.groupBy(*shape).agg(F.min(F.struct("doc_id", "mark")).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    # The number of a class is its own even where rows of other classes repeat its doc_id; the written table keeps it.
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), F.col("lead.doc_id").alias("class_id"), F.col("lead.mark").alias("lead_mark"), *shape, "copies", "bands")
     classes = materialise(classes, "classes")
-    groups = materialise(candidate_groups(classes), "candidates")
+    blocks, places = blocks_and_tiles(classes.select("node", "size", "bands"), tile)
 
     # One fetch of the texts of candidate classes only; their sets go to the tiles.
-    texts = id_and_text(docs).join(groups, F.col("doc_id") == F.col("class_id")).select("doc_id", "text", "group")
-    sets = Rows(class_id="long", group="long", set_hi="long", set_lo="long", grams="binary")
+    wanted = classes.select("node", "class_id", "lead_mark", "copies").join(blocks, "node")
+    texts = single_texts(docs, base).join(wanted, (F.col("doc_id") == F.col("class_id")) & (F.col("mark") == F.col("lead_mark")))
+    sets = Rows(node="long", copies="long", block="long", grams="binary")
 
     def to_sets(batches):
         for batch in batches:
             for part in small_batches([batch]):
-                grams_ = [shingle_set(t, n) for t in part.column(1).to_pylist()]
-                marks = [set_marks(g) for g in grams_]
-                yield sets.batch(part.column(0), part.column(2), [m[0] for m in marks], [m[1] for m in marks], [g.tobytes() for g in grams_])
-
-    members = materialise(texts.mapInArrow(to_sets, sets.schema), "sets")
-    sides = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
-    sides = materialise(sides.select("group", F.ceil(F.col("m") / F.greatest(F.lit(tile), F.sqrt("m"))).cast("int").alias("side")), "sides")
-    weights = classes.select("class_id", "set_hi", "set_lo", "copies")
-    placed = members.join(weights, ["class_id", "set_hi", "set_lo"]).join(sides, "group")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("side")).cast("int"))
-    # Block b meets each block o in the tile (min, max); a member goes to every tile of its block.
-    tiles = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    tiles = tiles.select("group", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "class_id", "copies", "grams")
-    found = Rows(class_id="long", other="long", weight="long")
+                node, copies, block, text = part.columns
+                yield sets.batch(node, copies, block, [shingle_set(t, n).tobytes() for t in text.to_pylist()])
+
+    members = materialise(texts.select("node", "copies", "block", "text").mapInArrow(to_sets, sets.schema), "sets")
+    tiles = members.join(places, "block").select("x", "y", "block", "node", "copies", "grams")
+    found = Rows(node="long", other="long", weight="long")
 
     def verify(batches):
-        for (_, x, y), members in runs(batches, 3):
+        for (x, y), rows_ in runs(batches, 2):
             part = {x: ([], [], []), y: ([], [], [])}
-            for blk, cid, w, g in members:
+            for blk, node, w, g in rows_:
                 ids, ws, gs = part[blk]
-                ids.append(cid), ws.append(w), gs.append(np.frombuffer(g, np.uint64))
-            (ids, ws, gs) = part[x]
-            other = part[y]
+                ids.append(node), ws.append(w), gs.append(np.frombuffer(g, np.uint64))
+            (ids, ws, gs), other = part[x], part[y]
             if x == y:
-                if len(ids) < 2:
-                    continue
                 linked = link_tile(gs, None, threshold)
                 out = [(ids[i], ids[j], 0) for i, j in forest(linked, True)]
                 gain = linked @ np.asarray(ws, np.int64)
                 out += [(c, c, int(v)) for c, v in zip(ids, gain) if v]
             else:
-                if not ids or not other[0]:
-                    continue
                 linked = link_tile(gs, other[2], threshold)
                 out = [(ids[i], other[0][j], 0) for i, j in forest(linked, False)]
                 out += [(c, c, int(v)) for c, v in zip(ids, linked @ np.asarray(other[1], np.int64)) if v]
@@ -247,13 +261,15 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 yield found.batch(*zip(*out))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.repartition(parts, "group", "x", "y").sortWithinPartitions("group", "x", "y")
+    dealt = tiles.repartition(parts, "x", "y").sortWithinPartitions("x", "y")
     links = materialise(dealt.mapInArrow(verify, found.schema), "links")
-    forest_edges = links.filter("class_id <> other")
-    chains = connected_components(forest_edges, "class_id", "other").withColumnRenamed("node", "class_id")
-    gains = links.filter("class_id = other").groupBy("class_id").agg(F.sum("weight").alias("gain"))
-    classes = classes.join(gains, "class_id", "left").join(chains, "class_id", "left")
-    classes = classes.select(*shape, "class_id", (F.col("copies") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("group_id"))
+    chains = materialise(connected_components(links.filter("node <> other"), "node", "other"), "chains")
+    names = classes.select("node", "class_id")
+    groups = chains.join(names, "node").groupBy("component").agg(F.min("class_id").alias("group_id"))
+    chains = chains.join(materialise(groups, "groups"), "component").select("node", "group_id")
+    gains = links.filter("node = other").groupBy("node").agg(F.sum("weight").alias("gain"))
+    classes = classes.join(gains, "node", "left").join(chains, "node", "left")
+    classes = classes.select(*shape, "class_id", (F.col("copies") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
     classes = materialise(classes, "linked")
     out = base.withColumn("own", F.col("doc_id").isNotNull()).join(classes.withColumn("own", F.lit(True)), [*shape, "own"], "left")
     return out.select(
@@ -262,3 +278,20 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_id", "doc_id").alias("group_id"),
     )
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each group of the join: that of the smallest id (null ids last); all its columns.
+
+    The rows are numbered in a written table first, so null and repeated ids
+    are rows of their own. Rows without n-grams (empty texts) all stay.
+    """
+    names = docs.columns
+    key = fresh("_row", names)
+    numbered = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    found = materialise(ngram_join(own), "joined").select(F.col("doc_id").alias(key), F.col("group_id").alias("of"), "n_links")
+    linked = found.filter("n_links > 0").join(numbered.select(key, F.col(id_col).cast("long").alias("id")), key)
+    first = linked.groupBy("of").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", F.col(key).alias("row"))).alias("s")).select(F.col("s.row").alias(key))
+    goes = materialise(linked.select(key).join(first, key, "left_anti"), "dropped")
+    return numbered.join(goes, key, "left_anti").select(*names)
