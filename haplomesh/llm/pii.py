@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MARK = "\u0001"
 #: The characters of a bank account number by country, of the IBAN registry and of the countries that use it unregistered.
 IBAN_LENGTHS = {
@@ -141,10 +143,10 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(needed, found).otherwise(empty)
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_pii``: a struct of one span array a kind."""
+def find_pii(docs: DataFrame, text_col: str = "text", name: str = "_pii") -> DataFrame:
+    """``docs`` with a column ``name``: a struct of one span array a kind."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, "\u0002")
-    return docs.withColumn("_pii", F.struct(*[spans_of(k, text).alias(k) for k in KINDS]))
+    return docs.withColumn(name, F.struct(*[spans_of(k, text).alias(k) for k in KINDS]))
 
 
 def listing(*arrays: Column) -> Column:
@@ -170,7 +172,8 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span's text replaced by its kind in brackets; same columns."""
-    spans = F.array_sort(F.concat(*[F.col(f"_pii.{k}") for k in KINDS]))
+    own = fresh("_pii", docs.columns)
+    spans = F.array_sort(F.concat(*[F.col(f"{own}.{k}") for k in KINDS]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def joined(both: Column) -> Column:
@@ -186,7 +189,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ends = bound(spans, lambda f: F.struct(f.alias("found"), running(F.transform(f, lambda s: s["end"]), F.greatest).alias("done")))
     clean = bound(F.struct(F.split(text, "(?s)(?<=.)(?=.)").alias("chars"), ends["found"].alias("found"), ends["done"].alias("done")), joined)
-    has = F.greatest(*[F.size(f"_pii.{k}") for k in KINDS]) > 0
+    has = F.greatest(*[F.size(f"{own}.{k}") for k in KINDS]) > 0
     names = docs.columns
-    found = find_pii(docs, text_col)
+    found = find_pii(docs, text_col, own)
     return found.select(*[F.when(has, clean).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in names])
