@@ -1,8 +1,11 @@
 """Training-data operators against brute force on small tables with odd rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -433,10 +436,103 @@ def test_components(spark):
 
 
 def test_toxicity_grammar():
-    s = toxicity.Scorer({"blorg": 2.0})
+    s = toxicity.Scorer(toxicity.Lexicon({"blorg": 2.0}, {"quux*": 1.0}))
     plain, aimed, denied, said = (s.score(t) for t in ("a blorg here.", "you are a blorg.", "not a blorg.", "he said a blorg."))
     assert aimed > plain > denied and plain > said and s.score("") == pytest.approx(toxicity.BASE)
     assert s.score("I will kill you") > s.score("kill time") == pytest.approx(toxicity.BASE)
+    once, twice, far = (s.score(t) for t in ("a quuxel here.", "a quuxel here. some quuxen there.", "a quuxel here. some quuxen there. " + "other words follow. " * 1000))
+    assert once < toxicity.THRESHOLD < twice and far == pytest.approx(toxicity.BASE)
+    assert s.score("They beat them. He kill it. " + "A long and harmless text. " * 200) == pytest.approx(toxicity.BASE)
+
+
+def test_composed_grammar_equals_its_paths():
+    """Every sequence of five classes, against the rules written out: the sum of what each pattern adds on its own path."""
+    insults = (toxicity.INSULT, toxicity.WEAK)
+
+    def brute(kinds):
+        total = 0.0
+        named = aimed = None  # what the target pattern has seen first
+        threat = denied = said = False
+        for k in kinds:
+            if aimed is None and named is None and (k == toxicity.TARGET or k in insults):
+                aimed, named = k == toxicity.TARGET, k in insults
+                open_ = True
+            elif (aimed or named) and open_ and (aimed and k in insults or named and k == toxicity.TARGET):
+                total, open_ = total + toxicity.ARCS["target"], False
+            if k == toxicity.THREAT and threat is False:
+                threat = True
+            elif k == toxicity.TARGET and threat is True:
+                total, threat = total + toxicity.ARCS["threat"], None
+            if denied and k in (*insults, toxicity.THREAT):
+                total, denied = total + toxicity.ARCS["negation"], False
+            elif k == toxicity.NEGATION:
+                denied = True
+            if said and k in (*insults, toxicity.THREAT):
+                total += toxicity.ARCS["report"]
+            said |= k == toxicity.REPORT
+        return total
+
+    machine = toxicity.grammar()
+    for kinds in itertools.product(range(7), repeat=5):
+        state, total = 0, 0.0
+        for k in kinds:
+            state, gain = machine.step(state, k)
+            total += gain
+        assert total == pytest.approx(brute(kinds)), kinds
+
+
+def test_learned_entries_are_pruned():
+    rows = [("disg*", 50, 0, 60, 0), ("disgu*", 50, 0, 60, 0), ("disgust", 40, 0, 50, 0), ("mild*", 30, 30, 90, 40), ("milder", 10, 9, 30, 12), ("rare", 8, 0, 8, 0)]
+    got = toxicity.learned_lexicon(rows, (100, 800, 10_000, 100_000))
+    assert set(got.strong) == {"disg*", "rare"} and set(got.weak) == {"mild*"} and got.cost > toxicity.COST
+
+
+def test_toxicity_query_against_a_brute_force_version(spark):
+    """Scores of the whole query, against a scorer that walks the patterns one by one."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    learned = toxicity.fit(docs, labels)
+    slow = toxicity.Scorer(learned)
+    fixed = {w: k for k, ws in toxicity.WORDS.items() for w in ws.split()}
+    entries = learned.strong | learned.weak
+
+    def classed(word):
+        if word in toxicity.INSULTS.split():
+            return toxicity.INSULT, toxicity.INSULT_WEIGHT
+        for name in (word, *(f"{word[:n]}*" for n in range(len(word), 0, -1))):
+            if name in fixed and name == word and word not in entries:
+                return fixed[word], 0.0
+            if name in entries:
+                return (toxicity.INSULT if name in learned.strong else toxicity.WEAK), entries[name]
+        return toxicity.OTHER, 0.0
+
+    def score(text):
+        clean, density = 1 - toxicity.BASE, 0.0
+        for clause in re.split(r"[.!?;:\n]", text.lower()):
+            words = re.findall(r"\w+", clause)
+            kinds = [classed(w) for w in words]
+            state, arcs, threat = 0, 0.0, False
+            for k, _ in kinds:
+                if k != toxicity.OTHER:
+                    state, gain = slow.machine.step(state, k)
+                    arcs += gain
+                    threat |= k == toxicity.TARGET and gain >= toxicity.ARCS["threat"]
+            strong = max((w for k, w in kinds if k == toxicity.INSULT), default=0)
+            weak = sum(w for k, w in kinds if k == toxicity.WEAK)
+            value = max(strong, weak) + arcs if strong or weak or threat else 0
+            density -= learned.cost * len(words)
+            if strong:
+                clean *= 1 - 1 / (1 + math.exp(2 - value))
+            else:
+                density += value
+        return 1 - clean * (1 - 1 / (1 + math.exp(2 - density)) if density > 0 else 1)
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = toxicity.toxicity(spark, docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-7) and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
 def test_toxicity_held_out(spark):
@@ -448,7 +544,7 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(spark, docs.limit(20), labels.filter("false")).count() == 20 and isinstance(one, int)
 
 
-@pytest.mark.parametrize("f", [exact_dedup.exact_dedup, license_scan.license_scan, suffix_dedup.suffix_dedup, ngram_join.ngram_join, pii.pii_report])
+@pytest.mark.parametrize("f", [exact_dedup.exact_dedup, exact_dedup.keep_first, license_scan.license_scan, suffix_dedup.suffix_dedup, ngram_join.ngram_join, ngram_join.keep_one, pii.pii_report, pii.redact])
 def test_empty_table(empty, f):
     assert f(empty).count() == 0
 
@@ -457,26 +553,102 @@ def test_empty_table_files(spark, empty):
     assert token_codes.tokens_to_files(empty, default_path("byte_bpe_50k.json"), 2).count() == 0
     assert packing.pack_documents(empty, default_path("word_bpe_49k.json")).count() == 0
     assert mpegts.read_media(mpegts.store_media(empty)).count() == 0
+    assert bpe.round_trip(empty, default_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    assert toxicity.toxicity(spark, empty, labels).count() == 0 and toxicity.toxicity(spark, empty, labels.filter("false")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _keep_id long, _pii int, _row string, _mark long, score double"
 
 
 def test_pipeline_stages(spark, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
     near = near_rows(12)
-    table = [(d, t, "en", "s", 1) for d, t in rows + near] + [(900, "you idiot. you moron", "en", "s", 1)]
-    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    table = [(d, t) for d, t in rows + near] + [(900, "you idiot. you moron"), (5000, "you idiot. you moron"), (5000, "a kind text"), (None, "you idiot. you moron")]
+    table += [(5001, "same words"), (5002, "other words"), (5002, "same  words"), (5003, near[0][1] + " end"), (5003, "a text of its own")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 2, 3, "x", 4, 0.5) for d, t in table], ODD)
     base = "/root/testdata/sf0.001"
     clean = pipeline.drop_toxic(spark, docs, base)
-    assert clean.filter("doc_id = 900").isEmpty() and clean.columns == docs.columns and clean.count() == len(table) - 1
+    toxic = [r for r in table if r[1] == "you idiot. you moron"]
+    assert sorted(map(repr, clean.select("doc_id", "text").collect())) == sorted(repr(r) for r in docs.select("doc_id", "text").collect() if (r.doc_id, r.text) not in toxic)
     single = pipeline.drop_copies(spark, clean, base)
-    assert single.count() == len({bare(t) for _, t in rows + near})
+    groups = defaultdict(list)
+    for d, t in table:
+        if (d, t) not in toxic:
+            groups[bare(t)].append((-len(t or ""), d is None, d))
+    assert sorted((bare(r.text), r.doc_id) for r in single.collect()) == sorted((t, min(g)[2]) for t, g in groups.items())
     far = pipeline.drop_near_copies(spark, single, base)
-    assert far.filter(F.col("doc_id").between(1000, 1011)).count() == 1
+    left = [(r.doc_id, r.text) for r in far.collect()]
+    assert sum(t in {x for _, x in near} | {near[0][1] + " end"} for _, t in left) == 1 and (5003, "a text of its own") in left
     red = pipeline.redact_pii(spark, far, base)
-    assert red.columns == docs.columns and red.count() == far.count()
+    assert red.count() == far.count() and red.filter("n_chars <> length(coalesce(text, ''))").isEmpty()
+    for stage in (clean, single, far, red):
+        assert stage.dtypes == docs.dtypes
+        assert stage.filter("_keep_id <> 2 OR _pii <> 3 OR _row <> 'x' OR _mark <> 4 OR score <> 0.5").isEmpty()
     assert {r.doc_id for r in pipeline.pack(spark, red, base).collect()} == {r.doc_id for r in red.collect()}
     assert [n.split("_")[0] for n in queries()] == [f"op{n}" for n in range(1, 11)]
 
 
+def test_pipeline_of_empty_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_pipeline_run_against_brute_force(spark):
+    """The whole run on the smallest table: which documents reach the packer, and their lengths."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = "/root/testdata/sf0.001"
+    table = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
+    scorer = toxicity.Scorer(toxicity.fit(spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")))
+    best = {}
+    for d, t in table:
+        if scorer.score(t) < toxicity.THRESHOLD:
+            best[bare(t)] = min(best.get(bare(t), (1, 0)), (-len(t), d))
+    texts = dict(table)
+    kept = sorted(d for _, d in best.values())
+    sets = {d: shingles(texts[d]) for d in kept}
+    root = {d: d for d in kept}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, a in enumerate(kept):
+        for b in kept[:i]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    kept = [d for d in kept if find(d) == d]
+    tok = CachedTokenizer(default_path("word_bpe_49k.json"))
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame([(d, texts[d]) for d in kept], "doc_id long, text string")).collect()}
+    want = {d: len(tok.tok.encode(clean[d], add_special_tokens=False).ids) + 1 for d in kept}
+    got = pipeline.run(spark, base).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == want
+    total = defaultdict(int)
+    for r in got:
+        total[r.doc_id] += r.length
+    assert total == want
+
+
+@pytest.mark.parametrize("same_id", [True, False])
+def test_thousands_of_repeated_rows(spark, same_id):
+    """Work in proportion to the rows, for one id or none over thousands of rows."""
+    rng = random.Random(2)
+    body = sentence(rng, 70)
+    rows = [(7 if same_id else None, body)] * 5000 + [(7 if same_id else None, sentence(rng, 60)) for _ in range(50)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = exact_dedup.exact_dedup(df).groupBy("group_size").count().collect()
+    assert {(r.group_size, r["count"]) for r in got} == {(5000, 5000), (2, 100)}
+    assert exact_dedup.keep_first(df).count() == 51
+    if same_id:
+        assert ngram_join.ngram_join(df).filter("n_links = 4999").count() == 5000
+        assert {(r.start, r.length) for r in suffix_dedup.suffix_dedup(df).collect()} == {(0, 70), (0, 60)}
+    assert time.time() - began < 60
+
+
 def test_redaction_of_many_matches_and_wide_characters(spark):
     n = 20_000
     rows = [(1, "wörd 😀 a.b@c.org, " * n), (2, "\n\n😀 1.2.3.4"), (3, "x +1.2.3.4.55.66.77 a+1@1.2.3.4"), (4, None), (5, "😀")]
