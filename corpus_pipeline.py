@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
 kept and returns the columns of ``documents``; the last returns packed pieces.
-Null texts are empty; rows that repeat both id and text are one document, of
-which the exact-dedup stage keeps one row.
+Each row is decided by its own text: null and repeated ids are rows like others,
+and extra columns pass through under whatever name. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -11,39 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplomesh.llm.common import materialise
-from haplomesh.llm.exact_dedup import exact_dedup
-from haplomesh.llm.ngram_join import ngram_join
+from haplomesh.llm.common import scratch
+from haplomesh.llm.exact_dedup import keep_first
+from haplomesh.llm.ngram_join import keep_one
 from haplomesh.llm.packing import pack_documents
 from haplomesh.llm.pii import redact
-from haplomesh.llm.toxicity import toxicity
+from haplomesh.llm.toxicity import drop_toxic as drop_toxic_rows
+from haplomesh.llm.toxicity import fit
 from haplomesh.llm.vocabulary import default_path
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep`` (null ids match null)."""
-    keep = keep.select(F.col("doc_id").alias("_keep_id"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least the threshold go."""
-    scored = toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scored.filter("predicted = 0"))
+    return drop_toxic_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays, then the smallest doc_id; one row of it."""
-    found = materialise(exact_dedup(docs), "kept")
-    kept = _only(docs, found.filter("kept"))
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Of equal texts one row stays: the longest original, then the smallest doc_id."""
+    return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of five-word Jaccard similarity 0.8 or more connect, the smallest doc_id stays."""
-    found = ngram_join(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))))
+    """Of each group that links of five-word Jaccard similarity 0.8 or more connect, the row of the smallest doc_id stays."""
+    return keep_one(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read back."""
+    """All stages over ``documents``; each result is written and read back, and what the stage wrote besides goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
