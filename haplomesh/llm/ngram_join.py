@@ -37,7 +37,7 @@ from .shingles import grams, mixed, word_hashes, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 SECOND = np.uint64(0x5851F42D4C957F2D)
-TILE = 64  # classes of a block at most; the root of its home's classes where that is more
+TILE = 512  # classes of a block at most; the root of its home's classes where that is more
 BLOCK_GRAMS = 1 << 21  # n-grams of a block, about
 
 
