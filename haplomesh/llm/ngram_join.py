@@ -5,8 +5,8 @@ Rows with one shingle set form a class. Each class has a signature of
 threshold meets in a band with the target recall. Classes are shuffled on their
 band hashes. Every pair of classes that meet in a bucket is a candidate, and its
 full n-gram sets are compared. So that neither sets nor pairs are copied for
-each bucket, a class has one home, its largest bucket, whose classes are dealt
-to blocks of bounded size; two blocks that meet in some bucket are compared in
+each bucket, a class has one home, its largest bucket or where few share that
+the largest home it meets, whose classes are dealt to blocks of bounded size; two blocks that meet in some bucket are compared in
 one square tile, a block that has two classes or more in a tile with itself.
 Each candidate pair lies in exactly one tile, chains of buckets never grow a
 tile, and a tile gives counts and a forest of links, not pairs. ``n_links``
@@ -180,22 +180,32 @@ def forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
 def blocks_and_tiles(classes: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(node, block) of the classes that meet another in some band, and (block, x, y): the tiles that a block goes to.
 
-    A home's classes are dealt by hash, so a bucket of m classes has about
-    sqrt(m) blocks and proportionally many tiles.
+    A home of fewer classes than half a block joins the largest home that it
+    meets, one step and no chain, so the stragglers of a large group do not each
+    make a block that all others meet. A home's classes are dealt by hash, so a
+    home of m classes has m / tile blocks, or the root of m.
     """
     bands = classes.select("node", F.explode("bands").alias("hash"))
     sizes = materialise(bands.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
     met = materialise(bands.join(sizes, "hash"), "met")
     homes = met.groupBy("node").agg(F.max(F.struct("m", "hash")).alias("s")).select("node", F.col("s.hash").alias("home"))
     homes = materialise(homes.join(classes.select("node", "size"), "node"), "homes")
+    many = materialise(homes.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "counts")
+    places = met.select("hash", "node").join(homes.select("node", "home"), "node").select("hash", "home").distinct()
+    places = materialise(places.join(many, "home"), "places")
+    top = materialise(places.groupBy("hash").agg(F.max(F.struct("n", "home")).alias("top")), "top")
+    hosts = places.filter(F.col("n") < tile // 2).join(top, "hash").groupBy("home").agg(F.max("top").alias("top"))
+    hosts = materialise(hosts.select("home", F.col("top.home").alias("host")), "hosts")
+    homes = homes.join(hosts, "home", "left").select("node", "size", F.coalesce("host", "home").alias("home"))
+    homes = materialise(homes, "hosted")
     n, grams_ = F.count(F.lit(1)), F.sum("size")
     sides = F.greatest(F.ceil(n / F.greatest(F.lit(tile), F.sqrt(n))), F.ceil(grams_ / BLOCK_GRAMS)).cast("long")
     sides = materialise(homes.groupBy("home").agg(sides.alias("side")), "sides")
     blocks = homes.join(sides, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("side"))).alias("block"))
     blocks = materialise(blocks, "blocks")
     seen = materialise(met.select("hash", "node").join(blocks, "node").select("hash", "block").distinct(), "seen")
-    many = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("hash")
-    shared = materialise(seen.join(many, "hash"), "shared")
+    several = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("hash")
+    shared = materialise(seen.join(several, "hash"), "shared")
     pairs = shared.select("hash", F.col("block").alias("x")).join(shared.select("hash", F.col("block").alias("y")), "hash").filter("x < y").select("x", "y").distinct()
     pairs = materialise(pairs, "tiles")
     own = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("block", F.col("block").alias("x"), F.col("block").alias("y"))
