@@ -35,8 +35,16 @@ def variants(spark: SparkSession, sf: str, missing: bool = False) -> DataFrame:
     return out.drop("s")
 
 
+def rare_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants with 0 to 3 carriers: every variant's ALT alleles but for those on its first haplotypes go."""
+    v = variants(spark, sf)
+    words = F.transform("hap_bits", lambda w, i: F.when(i == 0, w.bitwiseAND(F.expr("shiftleft(1L, cast(variant_id % 6 as int)) - 1"))).otherwise(F.lit(0).cast("bigint")))
+    v = v.withColumn("hap_bits", words)
+    return v.withColumn("ac", F.aggregate(F.transform("hap_bits", lambda w: F.bit_count(w)), F.lit(0), lambda s, x: s + x))
+
+
 def vcf_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """VCF text of the missing-data fixture, with some sites made multi-allelic, indels, haploid or repeated."""
+    """VCF text of the missing-data fixture, with some sites made multi-allelic, indels, haploid, invariant, repeated or led by a rejected record."""
     hap = hap_long(spark, sf, missing=True)
     code = F.when(F.col("allele") == 2, ".").otherwise(F.col("allele").cast("string"))
     gts = hap.withColumn("c", code).groupBy("variant_id", "rid", "pos", "sample_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hap_idx", "c"))), lambda x: x["c"]), "|").alias("gt"))
@@ -44,16 +52,21 @@ def vcf_lines(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("variant_id")
     alt = F.when(v % 13 == 12, "C,T").otherwise("C")
     ref = F.when(v % 17 == 16, "AC").otherwise("A")
-    cells = F.when(v % 19 == 18, F.transform("gts", lambda g: F.substring(g, 1, 1))).otherwise(F.col("gts"))
-    line = F.concat_ws("\t", F.concat(F.lit("c"), "rid"), F.col("pos") + 1, F.lit("."), ref, alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join(cells, "\t"))
-    body = rows.select((F.lit(100) + v * 2).alias("line"), line.alias("value"))
-    again = rows.filter(v % 11 == 10).select((F.lit(101) + v * 2).alias("line"), line.alias("value"))
+    cells = F.when(v % 19 == 18, F.transform("gts", lambda g: F.substring(g, 1, 1))).when(v % 23 == 22, F.transform("gts", lambda g: F.lit("0|0"))).otherwise(F.col("gts"))
+
+    def line(alt=alt):
+        return F.concat_ws("\t", F.concat(F.lit("c"), "rid"), F.col("pos") + 1, F.lit("."), ref, alt, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join(cells, "\t"))
+
+    body = rows.select((F.lit(100) + v * 4).alias("line"), line().alias("value"))
+    again = rows.filter(v % 11 == 10).select((F.lit(101) + v * 4).alias("line"), line().alias("value"))
+    # A record before its site's own that is rejected must not cost the site.
+    first = rows.filter(v % 7 == 6).select((F.lit(99) + v * 4).alias("line"), line(F.lit("C,G")).alias("value"))
     head = spark.createDataFrame([(0, "##fileformat=VCFv4.2"), *[(i + 1, f"##contig=<ID=c{i},length=62000>") for i in range(4)]], "line long, value string")
     names = spark.read.parquet(f"{sf}/embeddings.parquet").agg(F.max("vec_id").alias("m")).select(
         F.lit(50).cast("long").alias("line"),
         F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("m") / 2).cast("int")), lambda i: F.concat(F.lit("s"), i)), "\t")).alias("value"),
     )
-    return head.unionByName(names).unionByName(body).unionByName(again)
+    return head.unionByName(names).unionByName(body).unionByName(again).unionByName(first)
 
 
 def contigs(spark: SparkSession) -> DataFrame:

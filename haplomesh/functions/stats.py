@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +13,47 @@ from haplomesh.schema import FLAGS, HWE_LIMIT, LONG_RANGE, MIN_CELLS, PERFECT, R
 CELLS = ["ref_ref", "ref_alt", "alt_ref", "alt_alt"]
 
 
-def with_ld_stats(cells: DataFrame, compat: bool = False) -> DataFrame:
-    """Add n, d, r2, r, r_signed, dprime and chisq_fisher to a table of 2x2 cells.
+STATS = ["n", "d", "r2", "dprime", "r", "r_signed", "chisq_fisher"]
+
+
+def pair_statistics(rr: np.ndarray, ra: np.ndarray, ar: np.ndarray, aa: np.ndarray, compat: bool = False) -> dict[str, np.ndarray]:
+    """n, d, r2, dprime, r, r_signed and chisq_fisher of 2x2 cells; NaN where a margin is empty.
 
     ``compat`` takes the phased bound of the original tool for negative D
     (the smaller of the two margins' variances) in place of the standard one.
     """
-    rr, ra, ar, aa = (F.col(c) for c in CELLS)
-    out = cells.withColumn("n", rr + ra + ar + aa)
-    n = F.col("n")
-    out = out.withColumn("d", (rr / n) * (aa / n) - (ra / n) * (ar / n))
-    g0, g1, h0, h1 = (rr + ra) / n, (ar + aa) / n, (rr + ar) / n, (ra + aa) / n
-    d = F.col("d")
-    var = g0 * g1 * h0 * h1
-    negative = -F.least(g0 * g1, h0 * h1) if compat else -F.least(g0 * h0, g1 * h1)
-    bound = F.when(d >= 0, F.least(g0 * h1, h0 * g1)).otherwise(negative)
-    out = out.withColumn("r2", F.when(var > 0, d * d / F.nullif(var, F.lit(0.0))))
-    out = out.withColumn("dprime", F.when(bound != 0, d / F.nullif(bound, F.lit(0.0))))
-    return out.withColumn("r", F.sqrt("r2")).withColumn("r_signed", F.signum("d") * F.sqrt("r2")).withColumn("chisq_fisher", n * F.col("r2"))
+    with np.errstate(all="ignore"):
+        n = rr + ra + ar + aa
+        d = (rr / n) * (aa / n) - (ra / n) * (ar / n)
+        g0, g1, h0, h1 = (rr + ra) / n, (ar + aa) / n, (rr + ar) / n, (ra + aa) / n
+        var = g0 * g1 * h0 * h1
+        negative = -np.minimum(g0 * g1, h0 * h1) if compat else -np.minimum(g0 * h0, g1 * h1)
+        limit = np.where(d >= 0, np.minimum(g0 * h1, h0 * g1), negative)
+        r2 = np.where(var > 0, d * d / var, np.nan)
+        r = np.sqrt(r2)
+        return {"n": n, "d": d, "r2": r2, "dprime": np.where(limit != 0, d / limit, np.nan), "r": r, "r_signed": np.sign(d) * r, "chisq_fisher": n * r2}
+
+
+def with_ld_stats(cells: DataFrame, compat: bool = False) -> DataFrame:
+    """Add the statistics of :func:`pair_statistics` (null for NaN) to a stored table of 2x2 cells, in Arrow batches.
+
+    As columns each statistic would repeat the ones below it, beyond what is compiled.
+    """
+    fields = [f"`{n}` {t}" for n, t in cells.dtypes] + [f"{c} double" for c in STATS]
+
+    def run(batches):
+        for batch in batches:
+            cell = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in CELLS]
+            found = pair_statistics(*cell, compat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], from_pandas=True) for c in STATS)], names=[*batch.schema.names, *STATS])
+
+    return cells.mapInArrow(run, ", ".join(fields))
+
+
+def usable_cells(rr, ra, ar, aa, d) -> np.ndarray:
+    """Enough cells, enough beside the major haplotype, and some disequilibrium."""
+    n = rr + ra + ar + aa
+    return (n >= MIN_CELLS) & (n - np.maximum(rr, aa) >= MIN_CELLS) & (d != 0) & ~np.isnan(d)
 
 
 def usable(n: Column | None = None) -> Column:
@@ -39,13 +63,6 @@ def usable(n: Column | None = None) -> Column:
     return (n >= MIN_CELLS) & (minor >= MIN_CELLS) & (F.col("d") != 0)
 
 
-def in_range(column: str, low: float | None, high: float | None) -> Column:
-    c = F.lit(True)
-    if low is not None:
-        c = c & (F.col(column) >= low)
-    return c & (F.col(column) <= high) if high is not None else c
-
-
 def flag_column(phased: Column | bool = True, multiple_roots: Column | bool = False) -> Column:
     """The status flag; null HWE values set no bit."""
     same = F.col("rid_a") == F.col("rid_b")
@@ -73,22 +90,40 @@ def log_factorials(top: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1, dtype=np.float64)))])
 
 
+def grids(low: np.ndarray, high: np.ndarray, budget: int = 1 << 21):
+    """(rows, values, mask) over all rows: grids of low .. high, rows of like width together, of about ``budget`` places."""
+    width = high - low + 1
+    order = np.argsort(width, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, int(np.searchsorted(np.maximum.accumulate(width[order[at:]]) * np.arange(1, len(order) - at + 1), budget, side="right")))
+        rows = order[at : at + n]
+        values = low[rows, None] + np.arange(int(width[rows].max()))
+        yield rows, np.minimum(values, high[rows, None]), values <= high[rows, None]
+        at += n
+
+
+def tail_share(lp: np.ndarray, mask: np.ndarray, seen: np.ndarray, tolerance: float) -> np.ndarray:
+    """Per row, the share of the probabilities that are no larger than that at ``seen``."""
+    lp = np.where(mask, lp, -np.inf)
+    prob = np.exp(lp - lp.max(1, keepdims=True))
+    own = prob[np.arange(len(lp)), seen][:, None] * (1 + tolerance)
+    return np.minimum(1.0, np.where(prob <= own, prob, 0).sum(1) / prob.sum(1))
+
+
 def fisher_two_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Two-sided P of each 2x2 table: the tables with its margins that are no more likely, ties included."""
     cells = np.rint(np.stack([a, b, c, d])).astype(np.int64)
     keys, inverse = np.unique(cells, axis=1, return_inverse=True)
     logs = log_factorials(int(cells.sum(0).max(initial=0)))
     out = np.ones(keys.shape[1])
-    for k, (w, x, y, z) in enumerate(keys.T):
-        row, col, n = w + x, w + y, w + x + y + z
-        low, high = max(0, row + col - n), min(row, col)
-        if low == high:
-            continue
-        i = np.arange(low, high + 1)
-        lp = -(logs[i] + logs[row - i] + logs[col - i] + logs[n - row - col + i])
-        top = lp.max()
-        prob = np.exp(lp - top)
-        out[k] = min(1.0, prob[prob <= prob[w - low] * (1 + 1e-8)].sum() / prob.sum())
+    w, x, y, z = keys
+    row, col, n = w + x, w + y, w + x + y + z
+    low, high = np.maximum(0, row + col - n), np.minimum(row, col)
+    for at, i, mask in grids(low, high):
+        r, k, t = row[at, None], col[at, None], n[at, None]
+        lp = -(logs[i] + logs[r - i] + logs[k - i] + logs[t - r - k + i])
+        out[at] = tail_share(lp, mask, (w - low)[at], 1e-8)
     return out[np.asarray(inverse).ravel()]
 
 
@@ -103,18 +138,18 @@ def with_fisher(ld: DataFrame) -> DataFrame:
 
 
 def hwe_exact(hom_ref: np.ndarray, het: np.ndarray, hom_alt: np.ndarray) -> np.ndarray:
-    """Exact Hardy-Weinberg P: heterozygote counts that are no more likely than the one seen."""
-    out = np.ones(len(het))
-    for k, (a, h, b) in enumerate(zip(hom_ref, het, hom_alt, strict=True)):
-        n, rare = int(a + h + b), int(2 * min(a, b) + h)
-        if not n or not rare:
-            continue
-        logs = log_factorials(2 * n)
-        i = np.arange(rare % 2, rare + 1, 2)
-        lp = i * np.log(2.0) - logs[i] - logs[(rare - i) // 2] - logs[n - (rare + i) // 2]
-        prob = np.exp(lp - lp.max())
-        seen = prob[(int(h) - rare % 2) // 2]
-        out[k] = min(1.0, prob[prob <= seen * (1 + 1e-9)].sum() / prob.sum())
+    """Exact Hardy-Weinberg P: heterozygote counts that are no more likely than the one seen; 1 without the rare allele."""
+    a, h, b = (np.asarray(x, np.int64) for x in (hom_ref, het, hom_alt))
+    n, rare = a + h + b, 2 * np.minimum(a, b) + h
+    out = np.ones(len(h))
+    logs = log_factorials(int(n.max(initial=0)) * 2)
+    some = np.flatnonzero((n > 0) & (rare > 0))
+    odd = rare[some] % 2
+    for rows, steps, mask in grids(np.zeros(len(some), np.int64), (rare[some] - odd) // 2):
+        at = some[rows]
+        i, k, t = 2 * steps + odd[rows, None], rare[at, None], n[at, None]
+        lp = i * np.log(2.0) - logs[i] - logs[(k - i) // 2] - logs[t - (k + i) // 2]
+        out[at] = tail_share(lp, mask, (h[at] - odd[rows]) // 2, 1e-9)
     return out
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haplomesh.operators.pairs import unpack
+
 CELLS = ["ref_ref", "ref_alt", "alt_ref", "alt_alt"]
 
 
@@ -50,26 +54,32 @@ def offsets(ld: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def raster(ld: DataFrame, contigs: DataFrame, x_bins: int = 1000, y_bins: int = 1000, value: str = "r2", reduce: str = "mean", cutoff: int = 1) -> DataFrame:
-    """Sparse pixel matrix: x_bin, y_bin, value, n. The axis table has a row per contig."""
+    """Sparse pixel matrix: x_bin, y_bin, value, n.
+
+    Two passes over ``ld``, a stored table: the landscape, a row per contig,
+    which becomes literals, and one aggregate.
+    """
     if x_bins < 5 or y_bins < 5:
         raise ValueError("a raster has 5 bins a side at least")
-    axis = offsets(ld, contigs)
-    span = axis.agg(F.sum("span")).head()[0] or 1
+    axis = offsets(ld, contigs).collect()  # a row per contig of the header
+    span = sum(r.span for r in axis) or 1
     bpx, bpy = -(-span // x_bins), -(-span // y_bins)
-    out = ld
-    for s in "ab":
-        out = out.join(axis.select(F.col("rid").alias(f"rid_{s}"), (F.col("offset") - F.col("first")).alias(f"_o{s}")), f"rid_{s}")
-    x = F.floor((F.col("_oa") + F.col("pos_a")) / bpx).cast("int")
-    y = F.floor((F.col("_ob") + F.col("pos_b")) / bpy).cast("int")
+
+    def place(side: str) -> Column:
+        table = [F.lit(x) for r in axis for x in (r.rid, r.offset - r["first"])]
+        base = F.element_at(F.create_map(*table), F.col(f"rid_{side}")) if axis else F.lit(0)
+        return base + F.col(f"pos_{side}")
+
+    x, y = F.floor(place("a") / bpx).cast("int"), F.floor(place("b") / bpy).cast("int")
     v = value_of(value)
-    return out.groupBy(x.alias("x_bin"), y.alias("y_bin")).agg(reduced(reduce, v, cutoff).alias("value"), F.count(F.lit(1)).alias("n"))
+    return ld.groupBy(x.alias("x_bin"), y.alias("y_bin")).agg(reduced(reduce, v, cutoff).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def matrix_text(cells: DataFrame, bins: int) -> DataFrame:
-    """Dense rows of a raster as tab-separated text: line number and text."""
+    """Dense rows of a raster as tab-separated text: line number and text; values as their shortest decimal form."""
     rows = cells.groupBy("x_bin").agg(F.map_from_entries(F.collect_list(F.struct("y_bin", "value"))).alias("m"))
     every = cells.sparkSession.range(bins).select(F.col("id").cast("int").alias("x_bin"))
-    line = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda y: F.format_number(F.coalesce(F.element_at("m", y), F.lit(0.0)), 6))
+    line = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda y: F.coalesce(F.element_at("m", y), F.lit(0.0)).cast("string"))
     return every.join(rows, "x_bin", "left").select("x_bin", F.array_join(line, "\t").alias("line"))
 
 
@@ -108,15 +118,33 @@ def decay_positional(ld: DataFrame) -> DataFrame:
     return near.groupBy("rid_a", "pos_a").agg(F.count(F.lit(1)).alias("n"), (F.avg("pos_b") - F.col("pos_a")).alias("mean_distance"))
 
 
-def relationship(dosages: DataFrame) -> DataFrame:
-    """Sample-by-sample identity by state from (variant_id, sample_id, dosage): 1 - |difference| / 2, over the variants both have.
+def relationship(variants: DataFrame) -> DataFrame:
+    """Sample-by-sample identity by state of bit-packed variants: 1 - |difference| / 2, over the variants both have called.
 
-    Both halves of a pair come from one join on the variant; counts, not rows, are shuffled for the second time.
+    A task sums matrix products over all its variants, so what is shuffled is a
+    half matrix a task, whatever the number of variants. Two heterozygotes count
+    one half, as other unequal pairs of neighbours do; the diagonal is 1.
     """
-    a = dosages.select("variant_id", F.col("sample_id").alias("s1"), F.col("dosage").alias("d1"))
-    b = dosages.select("variant_id", F.col("sample_id").alias("s2"), F.col("dosage").alias("d2"))
-    score = F.when((F.col("d1") == F.col("d2")) & (F.col("d1") != 1), 2).when(F.abs(F.col("d1") - F.col("d2")) == 2, 0).otherwise(1)
-    pairs = a.join(b, "variant_id").filter("s1 < s2").groupBy("s1", "s2").agg((F.sum(score) / (2 * F.count(F.lit(1)))).alias("ibs"))
-    same = dosages.select(F.col("sample_id").alias("s1"), F.col("sample_id").alias("s2"), F.lit(1.0).alias("ibs")).distinct()
-    turned = pairs.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "ibs")
-    return pairs.unionByName(turned).unionByName(same)
+
+    def partial(frames):
+        score = called = None
+        for pdf in frames:
+            haps = int(pdf.n_haps.max())
+            bits, miss = unpack(pdf.hap_bits, haps), unpack(pdf.miss_bits, haps)
+            for at in range(0, len(pdf), 512):
+                dose = bits[at : at + 512, 0::2] + bits[at : at + 512, 1::2]
+                seen = (miss[at : at + 512, 0::2] + miss[at : at + 512, 1::2]) == 0
+                ref, alt, ok = ((m & seen).astype(np.float32) for m in (dose == 0, dose == 2, seen))
+                # 2 for the same homozygote, 0 for opposite ones, 1 for the rest
+                both = ok.T @ ok
+                gain = both + ref.T @ ref + alt.T @ alt - ref.T @ alt - alt.T @ ref
+                score, called = (gain.astype(np.float64), both.astype(np.float64)) if score is None else (score + gain, called + both)
+        if score is not None:
+            for s in range(len(score)):
+                yield pd.DataFrame({"s1": s, "s2": np.arange(s, len(score)), "score": score[s, s:], "called": called[s, s:]})
+
+    sums = variants.select("n_haps", "hap_bits", "miss_bits").mapInPandas(partial, "s1 int, s2 int, score double, called double")
+    sums = sums.groupBy("s1", "s2").agg(F.sum("score").alias("score"), F.sum("called").alias("called")).filter("s1 = s2 OR called > 0")
+    ibs = F.when(F.col("s1") == F.col("s2"), 1.0).otherwise(F.col("score") / (2 * F.nullif(F.col("called"), F.lit(0.0))))
+    sides = F.when(F.col("s1") == F.col("s2"), F.array(F.struct("s1", "s2"))).otherwise(F.array(F.struct("s1", "s2"), F.struct(F.col("s2").alias("s1"), F.col("s1").alias("s2"))))
+    return sums.select(F.explode(sides).alias("s"), ibs.alias("ibs")).select("s.s1", "s.s2", "ibs")

@@ -1,14 +1,19 @@
 """Which pairs of variants, and their contingency cells.
 
-The pair space is cut into square tiles of variant blocks. A variant is sent to
-the tiles of its block's row and column only, so a task holds two blocks
-whatever the number of variants; matrix products of 0/1 matrices give the
-cells. Windows use blocks of positions and only the tiles in reach. The sparse
-path joins carriers of the ALT allele instead.
+The pair space is cut into square tiles of super-blocks, each of some blocks of
+variants. A variant is sent to the tiles of its super-block's row and column
+only, so a task holds two super-blocks whatever the number of variants, and
+visits block by block: matrix products of 0/1 matrices give the cells, and at
+most block * block pairs are rows at once. Windows keep the tiles, and inside
+them the blocks, whose positions are in reach. The sparse path joins carriers
+of the ALT allele instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,21 +36,31 @@ def _prepared(variants: DataFrame) -> DataFrame:
     )
 
 
-def tiled(variants: DataFrame, block: int = BLOCK, window: int | None = None, bin_bp: int | None = None) -> DataFrame:
-    """Variants with the tile (t_rid, x, y) and their block, one row for each tile they go to."""
-    v = _prepared(variants)
+MOST_SIDE = 32  # blocks on a side of a tile at most
+
+
+def tiled(variants: DataFrame, block: int = BLOCK, window: int | None = None, side: int | None = None) -> DataFrame:
+    """Variants with the tile (t_rid, x, y), their super-block and block, one row for each tile they go to.
+
+    Blocks are cut by ``variant_id``, which grows with the position, so they are
+    bounded by count however dense a region is. ``side``: blocks of a tile's side.
+    """
+    v = _prepared(variants).withColumn("blk", F.floor(F.col("variant_id") / block).cast("long"))
     if window is None:
-        top = v.agg(F.max("variant_id")).head()[0] or 0
-        count = int(top) // block + 1
-        v = v.withColumn("blk", F.floor(F.col("variant_id") / block).cast("long")).withColumn("t_rid", F.lit(-1))
-        other = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        top = variants.agg(F.max(F.col("variant_id").cast("long"))).head()[0] or 0
+        blocks = int(top) // block + 1
+        if side is None:  # tiles enough for the cluster's cores, and no more copies than that needs
+            wanted = int(np.ceil(np.sqrt(8 * variants.sparkSession.sparkContext.defaultParallelism)))
+            side = max(1, min(MOST_SIDE, blocks // wanted))
+        v = v.withColumn("t_rid", F.lit(-1)).withColumn("sup", F.floor(F.col("blk") / side).cast("long"))
+        v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // side).cast("long"))))
     else:
-        width = max(1, min(window, bin_bp or window))
-        reach = -(-window // width)
-        v = v.withColumn("blk", F.floor(F.col("pos") / width).cast("long")).withColumn("t_rid", F.col("rid"))
-        other = F.explode(F.sequence(F.greatest(F.col("blk") - reach, F.lit(0)), F.col("blk") + reach))
-    v = v.withColumn("other", other)
-    return v.withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other")).drop("other")
+        v = v.withColumn("t_rid", F.col("rid")).withColumn("sup", F.floor(F.col("blk") / (side or 8)).cast("long"))
+        spans = v.groupBy("t_rid", "sup").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))  # a row a super-block
+        one, two = (spans.select("t_rid", *[F.col(c).alias(f"{c}{k}") for c in ("sup", "low", "high")]) for k in (1, 2))
+        near = one.join(two, "t_rid").filter((F.col("low2") <= F.col("high1") + window) & (F.col("low1") <= F.col("high2") + window))
+        v = v.join(near.select("t_rid", F.col("sup1").alias("sup"), F.col("sup2").alias("other")), ["t_rid", "sup"])
+    return v.withColumn("x", F.least("sup", "other")).withColumn("y", F.greatest("sup", "other")).drop("other")
 
 
 def unpack(words: pd.Series, haps: int) -> np.ndarray:
@@ -80,54 +95,57 @@ def genotype_cells(a: np.ndarray, b: np.ndarray, ma: np.ndarray | None, mb: np.n
     return [x @ y.T for x in pa for y in pb]
 
 
+NINE = [f"g{i}{j}" for i in range(3) for j in range(3)]
+TURNED = {"ref_alt": "alt_ref", "alt_ref": "ref_alt"} | {f"g{i}{j}": f"g{j}{i}" for i in range(3) for j in range(3)}
+VALUES = {"phased": CELLS, "unphased": NINE, "auto": [*CELLS, *NINE]}
+
+
 def pair_cells(
-    variants: DataFrame, model: str = "phased", window: int | None = None, block: int = BLOCK, bin_bp: int | None = None,
-    min_r2: float | None = None, skip_rare: bool = True, contigs: str = "any", chunk: tuple[int, int] | None = None,
+    variants: DataFrame, model: str = "phased", window: int | None = None, block: int = BLOCK, side: int | None = None,
+    min_r2: float | None = None, skip_rare: bool = True, contigs: str = "any", chunk: tuple[int, int] | None = None, finish=None, ddl: str | None = None,
 ) -> DataFrame:
-    """One row per unordered pair: both variants' columns with suffixes, and cells.
+    """One row per unordered pair, the earlier variant as A: both variants' columns with suffixes, and cells.
 
     model: 'phased' (2x2), 'unphased' (3x3: g00 .. g22) or 'auto' (both sets of
     columns; ``pair_phased`` says which holds: unphased where a variant of the
     pair has missing alleles or is flagged unphased). min_r2 drops phased pairs
-    inside the tile, before they are rows. chunk: (number of chunks k(k+1)/2,
-    chunk) of the tile triangle. contigs: 'any', 'same' or 'different'.
+    inside the tile, before they are rows; where no allele is missing, blocks of
+    pairs whose allele counts cannot reach it are not even multiplied. chunk:
+    (number of chunks k(k+1)/2, chunk) of the block triangle. contigs: 'any',
+    'same' or 'different'. finish (a function of a dict of column arrays that
+    returns such a dict, of the columns of ``ddl``) makes other rows of the pairs.
     """
-    tiles = tiled(variants, block, window, bin_bp)
+    tiles = tiled(variants, block, window, 1 if chunk is not None else side)
     if chunk is not None:
         tiles = tiles.filter(chunk_of("x", "y", chunk[0], tiles) == chunk[1])
-    nine = [f"g{i}{j}" for i in range(3) for j in range(3)]
-    value_names = {"phased": CELLS, "unphased": nine, "auto": [*CELLS, *nine]}[model]
-    ddl = ", ".join(f"{c}_{s} {PAIR_TYPES[c]}" for s in "ab" for c in SIDES) + ", pair_phased boolean, " + ", ".join(f"{c} double" for c in value_names)
-
+    value_names = VALUES[model]
+    ddl = ddl or ", ".join(f"{c}_{s} {PAIR_TYPES[c]}" for s in "ab" for c in SIDES) + ", pair_phased boolean, " + ", ".join(f"{c} double" for c in value_names)
     names = [c.split()[0] for c in ddl.split(", ")]
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t_rid, x, y = key
-        pdf = pdf.sort_values(["rid", "pos", "variant_id"], kind="stable").reset_index(drop=True)
-        left = pdf[pdf.blk == x].reset_index(drop=True)
-        right = left if x == y else pdf[pdf.blk == y].reset_index(drop=True)
-        empty = pd.DataFrame({c: pd.Series(dtype="float64") for c in names})
-        if left.empty or right.empty:
-            return empty
-        haps = int(pdf.n_haps.max())
-        a, b = unpack(left.hap_bits, haps), unpack(right.hap_bits, haps)
-        ma = unpack(left.miss_bits, haps) if left.miss.any() else None
-        mb = unpack(right.miss_bits, haps) if right.miss.any() else None
+    def product(left: pd.DataFrame, right: pd.DataFrame, haps: int, same_block: bool) -> pd.DataFrame | None:
+        """The kept pairs of two blocks."""
         col = lambda f, c: f[c].to_numpy()
-        keep = np.triu(np.ones((len(left), len(right)), bool), 1) if x == y else np.ones((len(left), len(right)), bool)
-        same = col(left, "rid")[:, None] == col(right, "rid")[None, :]
+        keep = np.triu(np.ones((len(left), len(right)), bool), 1) if same_block else np.ones((len(left), len(right)), bool)
+        ac_a, ac_b = col(left, "ac").astype(np.float64), col(right, "ac").astype(np.float64)
         if skip_rare:
-            keep &= col(left, "ac")[:, None].astype(int) + col(right, "ac")[None, :] > 2
+            keep &= ac_a[:, None] + ac_b[None, :] > 2
+        same = col(left, "rid")[:, None] == col(right, "rid")[None, :]
         if contigs != "any":
             keep &= same if contigs == "same" else ~same
         if window is not None:
             gap = np.abs(col(right, "pos")[None, :].astype(np.int64) - col(left, "pos")[:, None])
             keep &= same & (gap <= window)
-        unphased = (col(left, "unphased") | (col(left, "miss") > 0))[:, None] | (col(right, "unphased") | (col(right, "miss") > 0))[None, :]
+        clean = not (left.miss.any() or right.miss.any())
+        if min_r2 is not None and model == "phased" and clean:
+            keep &= r2_ceiling(ac_a[:, None], ac_b[None, :], haps) >= min_r2 - 1e-9
+        if not keep.any():
+            return None
+        a, b = unpack(left.hap_bits, haps), unpack(right.hap_bits, haps)
+        ma = unpack(left.miss_bits, haps) if left.miss.any() else None
+        mb = unpack(right.miss_bits, haps) if right.miss.any() else None
         cells = phased_cells(a, b, ma, mb) if model != "unphased" else []
         if min_r2 is not None and model == "phased":
             rr, ra, ar, aa = (c.astype(np.float64) for c in cells)
-            n = np.maximum(rr + ra + ar + aa, 1)
             var = (rr + ra) * (ar + aa) * (rr + ar) * (ra + aa)
             cov = rr * aa - ra * ar
             keep &= (var > 0) & (cov * cov >= (min_r2 - 1e-9) * var)
@@ -135,27 +153,54 @@ def pair_cells(
             cells = cells + genotype_cells(a, b, ma, mb)
         i, j = np.nonzero(keep)
         if not len(i):
-            return empty
+            return None
+        unphased = (col(left, "unphased") | (col(left, "miss") > 0))[i] | (col(right, "unphased") | (col(right, "miss") > 0))[j]
         out = {f"{c}_a": col(left, c)[i] for c in SIDES} | {f"{c}_b": col(right, c)[j] for c in SIDES}
-        out["pair_phased"] = np.full(len(i), True) if model == "phased" else np.full(len(i), False) if model == "unphased" else ~unphased[i, j]
+        out["pair_phased"] = np.full(len(i), True) if model == "phased" else np.full(len(i), False) if model == "unphased" else ~unphased
         out |= {c: m[i, j].astype(np.float64) for c, m in zip(value_names, cells, strict=True)}
-        return pd.DataFrame(out)
+        turn = (out["rid_a"] > out["rid_b"]) | ((out["rid_a"] == out["rid_b"]) & (out["pos_a"] > out["pos_b"]))
+        if turn.any():
+            out = {c: np.where(turn, out[turned(c)], v) if turned(c) in out else v for c, v in out.items()}
+        out = finish(out) if finish else out
+        return pd.DataFrame({c: out[c] for c in names}) if len(out[names[0]]) else None
+
+    def kernel(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, x, y = key
+        pdf = pd.concat(list(frames)).sort_values(["rid", "pos", "variant_id"], kind="stable")
+        haps = int(pdf.n_haps.max())
+        cut = {s: [f.reset_index(drop=True) for _, f in pdf[pdf["sup"] == s].groupby("blk")] for s in {x, y}}
+        for i, left in enumerate(cut[x]):
+            for j, right in enumerate(cut[y]):
+                if x == y and j < i:
+                    continue
+                if window is not None and (right.pos.min() > left.pos.max() + window or left.pos.min() > right.pos.max() + window):
+                    continue
+                found = product(left, right, haps, x == y and i == j)
+                if found is not None:
+                    yield found
 
-    found = tiles.groupBy("t_rid", "x", "y").applyInPandas(kernel, ddl)
-    swap = (F.col("rid_a") > F.col("rid_b")) | ((F.col("rid_a") == F.col("rid_b")) & (F.col("pos_a") > F.col("pos_b")))
-    return found if window is not None else oriented(found, swap)
+    return tiles.groupBy("t_rid", "x", "y").applyInPandas(kernel, ddl)
 
 
-def oriented(pairs: DataFrame, swap) -> DataFrame:
-    """Pairs with the earlier variant as A; swapping exchanges the off-diagonal cells too."""
-    turned = {"ref_alt": "alt_ref", "alt_ref": "ref_alt"} | {f"g{i}{j}": f"g{j}{i}" for i in range(3) for j in range(3)}
+def r2_ceiling(ac_a, ac_b, n: float) -> np.ndarray:
+    """Largest r2 that two ALT counts of ``n`` haplotypes allow; 0 where one is monomorphic."""
+    pa, pb = np.broadcast_arrays(ac_a / n, ac_b / n)
+    qa, qb = 1 - pa, 1 - pb
+    best = np.maximum(np.minimum(pa * qb, qa * pb), np.minimum(pa * pb, qa * qb)) ** 2
+    var = pa * qa * pb * qb
+    return np.divide(best, var, out=np.zeros_like(var), where=var > 0)
+
 
-    def other(c: str) -> str:
-        if c[-2:] in ("_a", "_b") and c[:-2] in SIDES:
-            return c[:-1] + ("b" if c[-1] == "a" else "a")
-        return turned.get(c, c)
+def turned(c: str) -> str:
+    """The column that takes ``c``'s place when the sides of a pair are exchanged."""
+    if c[-2:] in ("_a", "_b") and c[:-2] in SIDES:
+        return c[:-1] + ("b" if c[-1] == "a" else "a")
+    return TURNED.get(c, c)
 
-    return pairs.select(*[F.when(swap, F.col(other(c))).otherwise(F.col(c)).alias(c) if other(c) != c else F.col(c) for c in pairs.columns])
+
+def oriented(pairs: DataFrame, swap) -> DataFrame:
+    """Pairs with their sides exchanged where ``swap`` holds; the off-diagonal cells follow."""
+    return pairs.select(*[F.when(swap, F.col(turned(c))).otherwise(F.col(c)).alias(c) if turned(c) in pairs.columns and turned(c) != c else F.col(c) for c in pairs.columns])
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -184,7 +229,7 @@ def target_region(variants: DataFrame, rid: int, start: int, stop: int, flank: i
         raise ValueError("no target variant in the region")
     if near.filter(~one.between(start, stop)).isEmpty():
         raise ValueError("the targets have no neighbours")
-    pairs = pair_cells(near, block=block, window=2 * flank + stop - start + 1, skip_rare=False)
+    pairs = pair_cells(near, block=block, window=2 * flank + stop - start + 1, skip_rare=False)  # the window holds the whole region
     return pairs.filter((F.col("pos_a") + 1).between(start, stop) | (F.col("pos_b") + 1).between(start, stop))
 
 

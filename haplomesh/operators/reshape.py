@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplomesh.sources.store import read_sidecar
+
 ORDER = ["rid_a", "rid_b", "pos_a", "pos_b"]
 
 
@@ -24,6 +26,16 @@ def ld_concat(parts: list[DataFrame], samples: list[list[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def concat_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of the stored tables, whose headers must name the same samples; one scan of all files."""
+    names = [[s["sample"] for s in read_sidecar(spark, p)["samples"]] for p in paths]
+    if len(paths) < 2:
+        raise ValueError("concatenation takes two tables or more")
+    if any(n != names[0] for n in names[1:]):
+        raise ValueError("the tables have different samples")
+    return spark.read.parquet(*paths)
+
+
 def haplotype_rows(hap: DataFrame, numeric: bool = False) -> DataFrame:
     """One base string per haplotype from (variant_id, pos, hap_idx, allele, ref, alt): variants in order of position."""
     code = F.when(F.col("allele") == 0, F.lit("0") if numeric else F.col("ref")).when(F.col("allele") == 1, F.lit("1") if numeric else F.col("alt")).otherwise(F.lit("2") if numeric else F.lit("N"))

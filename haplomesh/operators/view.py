@@ -96,6 +96,16 @@ def slices(texts: list[str], ids: dict[str, int]) -> Column:
     return any_of(linked) | (~any_of(linked_a) & any_of(single))
 
 
+def variant_slices(texts: list[str], ids: dict[str, int]) -> Column:
+    """A variant in any of the intervals; a linked pair of them means either side."""
+    out = F.lit(False)
+    for text in texts:
+        for side in parse_interval(text, ids):
+            if side is not None:
+                out = out | side.test(F.col("rid"), F.col("pos"), ids)
+    return out
+
+
 def slice_by_table(ld: DataFrame, intervals: DataFrame, bin_bp: int = 1_000_000) -> DataFrame:
     """Rows whose A side lies in some interval of a table (rid, start, stop; from 1): an equi-join on position bins."""
     bins = intervals.select("rid", "start", "stop", F.explode(F.sequence(F.floor((F.col("start") - 1) / bin_bp), F.floor((F.col("stop") - 1) / bin_bp))).alias("bin"))

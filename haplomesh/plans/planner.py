@@ -1,12 +1,13 @@
-"""Physical choices: kernel by carrier density, r2 bound by allele frequency, and the whole LD computation."""
+"""The whole LD computation; the r2 bound as a column, and a rule for callers that choose between the dense tiles and the sparse join."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplomesh.functions.stats import flag_column, in_range, usable, with_fisher, with_ld_stats, with_unphased_haplotypes
-from haplomesh.operators.pairs import mirrored, pair_cells
+from haplomesh.functions.stats import CELLS, flag_column, haplotype_roots, pair_statistics, usable_cells, with_fisher
+from haplomesh.operators.pairs import NINE, PAIR_TYPES, mirrored, pair_cells
 from haplomesh.schema import LD_COLUMNS
 
 
@@ -24,31 +25,45 @@ def choose_kernel(variants: DataFrame, limit: float = 0.02) -> str:
     return "sparse" if row.f is not None and row.f < limit and not row.m else "dense"
 
 
+ROWS = ["rid_a", "pos_a", "rid_b", "pos_b", "variant_id_a", "variant_id_b", "ac_a", "ac_b", "miss_a", "miss_b", "hwe_a", "hwe_b"]
+NUMBERS = [*CELLS, "d", "dprime", "r", "r2", "r_signed", "chisq_fisher", "chisq_model"]
+
+
 def compute_ld(
     variants: DataFrame, model: str = "auto", min_r2: float = 0.1, max_r2: float = 100.0, min_dprime: float = 0.0, max_dprime: float = 100.0,
-    max_p: float = 1.0, exact_p: bool = True, mirror: bool = True, compat: bool = False, pairs: DataFrame | None = None, **where,
+    max_p: float = 1.0, exact_p: bool = True, mirror: bool = True, compat: bool = False, **where,
 ) -> DataFrame:
     """The pair table: cells, D, D', R, R2, exact P, chi-squared and flags.
 
-    Cheap tests come first: counts, D, R2 (inside the tile where the model is
-    phased), D', and the exact test last.
+    The statistics are computed beside the cells, inside the tile, and cheap
+    tests come first: allele counts, cells, D, R2, D'; only the pairs that pass
+    are rows, and the exact test runs on those.
     """
+    ddl = ", ".join(f"{c} {PAIR_TYPES[c[:-2]]}" for c in ROWS) + ", " + ", ".join(f"{c} double" for c in NUMBERS) + ", math_phased boolean, multiple_roots boolean"
+
+    def finish(out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        phased = out["pair_phased"]
+        keep = np.ones(len(phased), bool)
+        out |= {"chisq_model": np.zeros(len(phased)), "math_phased": phased.copy(), "multiple_roots": np.zeros(len(phased), bool)}
+        for c in CELLS:
+            out.setdefault(c, np.zeros(len(phased)))
+        at = np.flatnonzero(~phased)
+        if len(at):
+            nine = np.stack([out[c][at] for c in NINE], axis=1)
+            with np.errstate(all="ignore"):
+                roots = haplotype_roots(nine)
+            keep[at] = (nine.sum(1) > 0) & ~np.isnan(roots["f11"])
+            for c in (*CELLS, "chisq_model", "multiple_roots"):
+                out[c][at] = roots[c]
+            out["math_phased"][at] = roots["no_double_het"]
+        cells = [out[c] for c in CELLS]
+        out |= pair_statistics(*cells, compat)
+        with np.errstate(invalid="ignore"):
+            keep &= usable_cells(*cells, out["d"]) & (out["r2"] >= min_r2) & (out["r2"] <= max_r2) & (out["dprime"] >= min_dprime) & (out["dprime"] <= max_dprime)
+        return {c: out[c][keep] for c in (*ROWS, *NUMBERS, "math_phased", "multiple_roots")}
+
     bound = min_r2 if model == "phased" and min_r2 > 0 else None
-    cells = pairs if pairs is not None else pair_cells(variants, model=model, min_r2=bound, **where)
-    parts = []
-    if model != "unphased":
-        phased = cells.filter("pair_phased") if model == "auto" else cells
-        phased = phased.withColumn("chisq_model", F.lit(0.0)).withColumn("math_phased", F.lit(True)).withColumn("multiple_roots", F.lit(False))
-        parts.append(phased)
-    if model != "phased":
-        un = cells.filter("NOT pair_phased") if model == "auto" else cells
-        un = with_unphased_haplotypes(un.drop("ref_ref", "ref_alt", "alt_ref", "alt_alt"))
-        parts.append(un.withColumn("math_phased", F.col("no_double_het")))
-    keep = ["rid_a", "pos_a", "rid_b", "pos_b", "variant_id_a", "variant_id_b", "ac_a", "ac_b", "miss_a", "miss_b", "hwe_a", "hwe_b", "ref_ref", "ref_alt", "alt_ref", "alt_alt", "chisq_model", "math_phased", "multiple_roots"]
-    out = parts[0].select(*keep)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*keep))
-    out = with_ld_stats(out, compat).filter(usable()).filter(in_range("r2", min_r2, max_r2)).filter(in_range("dprime", min_dprime, max_dprime))
+    out = pair_cells(variants, model=model, min_r2=bound, finish=finish, ddl=ddl, **where)
     out = with_fisher(out).filter(F.col("p") <= max_p) if exact_p else out.withColumn("p", F.lit(None).cast("double"))
     out = mirrored(out) if mirror else out
     out = out.withColumn("flag", flag_column(F.col("math_phased"), F.col("multiple_roots")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "hapl
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors reach; on one machine a temporary one stands in."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="haplomesh-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors' Python this package, once per Spark application."""
     sc = spark.sparkContext
