@@ -122,8 +122,8 @@ def pair_cells(
     ddl = ddl or ", ".join(f"{c}_{s} {PAIR_TYPES[c]}" for s in "ab" for c in SIDES) + ", pair_phased boolean, " + ", ".join(f"{c} double" for c in value_names)
     names = [c.split()[0] for c in ddl.split(", ")]
 
-    def product(left: pd.DataFrame, right: pd.DataFrame, haps: int, same_block: bool) -> pd.DataFrame | None:
-        """The kept pairs of two blocks."""
+    def product(left: pd.DataFrame, right: pd.DataFrame, haps: int, same_block: bool, held: list[np.ndarray]) -> pd.DataFrame | None:
+        """The kept pairs of two blocks; ``held`` keeps the left one's 0/1 matrix for the other calls of its row."""
         col = lambda f, c: f[c].to_numpy()
         keep = np.triu(np.ones((len(left), len(right)), bool), 1) if same_block else np.ones((len(left), len(right)), bool)
         ac_a, ac_b = col(left, "ac").astype(np.float64), col(right, "ac").astype(np.float64)
@@ -140,6 +140,19 @@ def pair_cells(
             keep &= r2_ceiling(ac_a[:, None], ac_b[None, :], haps) >= min_r2 - 1e-9
         if not keep.any():
             return None
+        if model == "phased" and clean:  # ALT_ALT alone is multiplied, and the margins give the rest for the pairs that stay
+            if not held:
+                held.append(unpack(left.hap_bits, haps).astype(np.float32))
+            a = held[0]
+            b = a if same_block else unpack(right.hap_bits, haps).astype(np.float32)
+            common, sa, sb = (a @ b.T).astype(np.float64), a.sum(1, dtype=np.float64), b.sum(1, dtype=np.float64)
+            if min_r2 is not None:
+                cov = haps * common - np.outer(sa, sb)
+                var = np.outer(sa * (haps - sa), sb * (haps - sb))
+                keep &= (var > 0) & (cov * cov >= (min_r2 - 1e-9) * var)
+            i, j = np.nonzero(keep)
+            aa, ar, ra = common[i, j], sa[i] - common[i, j], sb[j] - common[i, j]
+            return rows(left, right, i, j, [haps - aa - ar - ra, ra, ar, aa])
         a, b = unpack(left.hap_bits, haps), unpack(right.hap_bits, haps)
         ma = unpack(left.miss_bits, haps) if left.miss.any() else None
         mb = unpack(right.miss_bits, haps) if right.miss.any() else None
@@ -152,12 +165,17 @@ def pair_cells(
         if model != "phased":
             cells = cells + genotype_cells(a, b, ma, mb)
         i, j = np.nonzero(keep)
+        return rows(left, right, i, j, [m[i, j].astype(np.float64) for m in cells])
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, values: list[np.ndarray]) -> pd.DataFrame | None:
+        """The pairs (i, j) with their cells, turned so that A is the earlier variant, and finished."""
         if not len(i):
             return None
+        col = lambda f, c: f[c].to_numpy()
         unphased = (col(left, "unphased") | (col(left, "miss") > 0))[i] | (col(right, "unphased") | (col(right, "miss") > 0))[j]
         out = {f"{c}_a": col(left, c)[i] for c in SIDES} | {f"{c}_b": col(right, c)[j] for c in SIDES}
         out["pair_phased"] = np.full(len(i), True) if model == "phased" else np.full(len(i), False) if model == "unphased" else ~unphased
-        out |= {c: m[i, j].astype(np.float64) for c, m in zip(value_names, cells, strict=True)}
+        out |= dict(zip(value_names, values, strict=True))
         turn = (out["rid_a"] > out["rid_b"]) | ((out["rid_a"] == out["rid_b"]) & (out["pos_a"] > out["pos_b"]))
         if turn.any():
             out = {c: np.where(turn, out[turned(c)], v) if turned(c) in out else v for c, v in out.items()}
@@ -170,12 +188,13 @@ def pair_cells(
         haps = int(pdf.n_haps.max())
         cut = {s: [f.reset_index(drop=True) for _, f in pdf[pdf["sup"] == s].groupby("blk")] for s in {x, y}}
         for i, left in enumerate(cut[x]):
+            held: list[np.ndarray] = []
             for j, right in enumerate(cut[y]):
                 if x == y and j < i:
                     continue
                 if window is not None and (right.pos.min() > left.pos.max() + window or left.pos.min() > right.pos.max() + window):
                     continue
-                found = product(left, right, haps, x == y and i == j)
+                found = product(left, right, haps, x == y and i == j, held)
                 if found is not None:
                     yield found
 
