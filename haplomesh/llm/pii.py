@@ -8,8 +8,12 @@ whole texts are read in one pass a kind. Possessive repeats, and the rule that
 a match starts at a run's first character or where the last match ended, keep
 the work linear in the text.
 
-Base kinds (email, ip, card, phone) count without regard to context. The added
-kinds are iban (its country's length, mod-97) and ssn (three-two-four digits with a context word).
+Every span has a score: its kind's, more where a context word stands near. Base
+kinds (email, ip, card, phone) score enough to count without one. The added
+kinds are iban (its country's length, mod-97), ssn (three-two-four digits with
+a context word) and secret (private key blocks and keys of known issuers; other
+runs of 20 or more key characters, in which letters and digits take turns at
+least three times, with a context word).
 
 Odd input: null and empty texts give no spans; a text may hold the mark
 characters themselves (they are read as another control character of the same
@@ -43,6 +47,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*+(?:Proc-Type: [^\n]*+\n)?(?:DEK-Info: [^\n]*+\n)?[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -52,9 +58,17 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 CONTEXT = {
     "iban": r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b",
     "ssn": r"(?i)\b(?:ssn|social|security|sozial|sécurité|seguridad)\b",
+    "email": r"(?i)\b(?:e-?mail|mail|contact|kontakt|correo|courriel)\b",
+    "ip": r"(?i)\b(?:ip|host|server|address|adresse|login)\b",
+    "card": r"(?i)\b(?:card|visa|credit|debit|karte|carte|tarjeta)\b",
+    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|téléphone|teléfono)\b",
+    "secret": r"(?i)(?<![a-z])(?:api|key|token|secret|password|passwd|pwd|credentials?|bearer|passwort|schlüssel|jeton|clave|contraseña)(?![a-z])",
 }
 WINDOW = 40
-SCORE = {"iban": (0.7, 0.2), "ssn": (0.3, 0.5)}  # of a confirmed span, and what context adds
+#: The score of a confirmed span, and what context adds.
+SCORE = {"email": (0.8, 0.2), "ip": (0.6, 0.2), "card": (0.7, 0.2), "phone": (0.6, 0.2), "iban": (0.7, 0.2), "ssn": (0.3, 0.5), "secret": (0.3, 0.5)}
+#: How private key blocks and the keys of some issuers begin; such a span needs no context.
+ISSUED = r"^(?:-----BEGIN |AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|sk_live_)"
 LEAST = 0.6  # score of a span that counts
 
 
@@ -96,6 +110,9 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(9, 15)
     if kind == "iban":
         return mod97(m)
+    if kind == "secret":
+        turns = F.regexp_count(m, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"))
+        return m.rlike(ISSUED) | (turns >= 3)
     return F.lit(True)
 
 
@@ -114,8 +131,21 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def scored(kind: str, ps: Column, i: Column) -> Column:
+    """Score of the match at place ``i`` of the pieces; context may lie beyond one neighbouring match of the kind."""
+
+    def side(places: tuple) -> Column:
+        return F.concat(*[F.coalesce(F.get(ps, i + k), F.lit("")) for k in places])
+
+    hit = F.get(ps, i)
+    near = F.concat(F.right(side((-3, -2, -1)), F.lit(WINDOW)), hit, F.left(side((1, 2, 3)), F.lit(WINDOW) + (F.length(hit) if kind == "iban" else 0)))
+    sure, more = SCORE[kind]
+    base = F.when(hit.rlike(ISSUED), 0.9).otherwise(sure) if kind == "secret" else F.lit(sure)
+    return F.round(F.least(base + F.when(near.rlike(CONTEXT[kind]), more).otherwise(0.0), F.lit(1.0)), 2)
+
+
 def spans_of(kind: str, text: Column) -> Column:
-    """Array of (start, end, kind) of one kind's counted spans, in code points from 0, end exclusive."""
+    """Array of (start, end, kind, score) of one kind's counted spans, in code points from 0, end exclusive."""
     copied = kind == "iban"  # matches are copied before their place, so that one which fails mod-97 hides none that begins inside it
     pattern = rf"(?=({PATTERNS[kind]}))" if copied else f"({PATTERNS[kind]})"
     pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$1{MARK}"), MARK)  # odd places are matches
@@ -123,23 +153,18 @@ def spans_of(kind: str, text: Column) -> Column:
     def placed(ps: Column) -> Column:
         ends = running(F.transform(ps, lambda p, i: F.when(i % 2 == 0, F.length(p)).otherwise(0) if copied else F.length(p)), lambda x, y: x + y)
         start = (lambda p, end: end) if copied else (lambda p, end: end - F.length(p))
-        return F.zip_with(ps, ends, lambda p, end: F.struct(start(p, end).alias("start"), (start(p, end) + F.length(p)).alias("end"), p.alias("hit")))
+        spans = F.zip_with(ps, ends, lambda p, end: F.struct(start(p, end).alias("start"), (start(p, end) + F.length(p)).alias("end"), p.alias("hit")))
 
-    once = bound(pieces, placed)  # so that the pattern runs once
-    found = F.filter(once, lambda s, i: (i % 2 == 1) & confirmed(kind, s["hit"]))
-    if kind in SCORE:
-        sure, more = SCORE[kind]
+        def judged(s: Column, i: Column) -> Column:
+            score = F.when((i % 2 == 1) & confirmed(kind, s["hit"]), scored(kind, ps, i))
+            return F.struct(s["start"], s["end"], F.lit(kind).alias("kind"), score.alias("score"))
 
-        def scored(s: Column) -> Column:
-            left = F.greatest(s["start"] - WINDOW, F.lit(0))
-            near = F.substring(text, left + 1, s["end"] - left + WINDOW)
-            return F.lit(sure) + F.when(near.rlike(CONTEXT[kind]), more).otherwise(0.0) >= LEAST
+        return F.filter(F.transform(spans, judged), lambda s: s["score"] >= LEAST)
 
-        found = F.filter(found, scored)
-    found = F.transform(found, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind")))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    found = bound(pieces, placed)  # so that the pattern runs once
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string,score:double>>")
     hint = text.contains(NEEDED[kind]) if kind in NEEDED else F.lit(True)
-    needed = hint & (text.rlike(PATTERNS[kind]) if kind in ("card", "iban") else F.lit(True))
+    needed = hint & (text.rlike(PATTERNS[kind]) if kind in ("card", "iban", "secret") else F.lit(True))
     return F.when(needed, found).otherwise(empty)
 
 
@@ -149,17 +174,17 @@ def find_pii(docs: DataFrame, text_col: str = "text", name: str = "_pii") -> Dat
     return docs.withColumn(name, F.struct(*[spans_of(k, text).alias(k) for k in KINDS]))
 
 
-def listing(*arrays: Column) -> Column:
-    """``kind:start:end`` of all spans by start, then kind as listed, comma-joined."""
+def listing(*arrays: Column, show=lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])) -> Column:
+    """``kind:start:end``, or what ``show`` makes, of all spans by start, then kind as listed, comma-joined."""
     ranked = F.transform(
         F.concat(*arrays),
-        lambda s: F.struct(s["start"], F.array_position(F.lit(list(KINDS)), s["kind"]).alias("rank"), s["end"], s["kind"]),
+        lambda s: F.struct(s["start"], F.array_position(F.lit(list(KINDS)), s["kind"]).alias("rank"), s["end"], s["kind"], s["score"]),
     )
-    return F.array_join(F.transform(F.array_sort(ranked), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(F.array_sort(ranked), show), ",")
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, n_iban, n_ssn, base_sha256, spans``."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, n_iban, n_ssn, n_secret, base_sha256, spans, scores``; scores in the order of spans."""
     found = find_pii(docs.select("doc_id", "text"))
     of = {k: F.col(f"_pii.{k}") for k in KINDS}
     return found.select(
@@ -167,6 +192,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
         *[F.size(of[k]).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(listing(*[of[k] for k in BASE]), 256).alias("base_sha256"),
         listing(*of.values()).alias("spans"),
+        listing(*of.values(), show=lambda s: s["score"].cast("string")).alias("scores"),
     )
 
 
