@@ -129,10 +129,11 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text (null: empty), under the names ``doc_id`` and ``text``."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
+    return docs.select(*id_and_text_columns(id_col, text_col))
+
+
+def id_and_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
 
 
 def small_batches(batches, budget: int = 8 << 20, column: str = "text"):

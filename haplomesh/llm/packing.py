@@ -21,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, small_batches
+from .common import Rows, id_and_text_columns, small_batches
 from .vocabulary import cached
 
 COLUMNS = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long", "loss_tokens": "long"}
@@ -70,7 +71,7 @@ class Packer:
 
     def add(self, piece: Piece):
         """Rows of the sequences that are complete after this example came."""
-        while len(piece) >= self.tokens and self.loss_limit >= self.tokens:
+        while len(piece) >= self.tokens and (self.loss_limit >= self.tokens or piece.mask is not None and self._room(piece, self.tokens, self.loss_limit) == self.tokens):
             head, piece = piece.cut(self.tokens)
             yield from self._emit([head])
         if not len(piece):
@@ -153,12 +154,16 @@ class Packer:
             yield from self._emit(chosen)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: int = 2048, segments: int = 64, loss: int | None = None, window: int = 1024) -> DataFrame:
-    """One row per piece: its document, place, checksum and sequence; every id bears loss.
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: int = 2048, segments: int = 64, loss: int | None = None, window: int = 1024, loss_col: str | None = None) -> DataFrame:
+    """One row per piece: its document, place, checksum and sequence.
 
-    ``sequence_id`` holds the partition in its upper bits and a counter below.
+    ``loss_col`` names a boolean column: the ids of rows where it is true or null
+    bear loss (a turn of the assistant, for instance), others none; without it all
+    do. ``sequence_id`` holds the partition in its upper bits and a counter below.
     """
     rows = Rows(**COLUMNS)
+    bears = F.lit(True) if loss_col is None else F.coalesce(F.col(loss_col).cast("boolean"), F.lit(True))
+    rows_in = docs.select(*id_and_text_columns(), bears.alias("bears"))
 
     def pack(batches):
         from pyspark import TaskContext
@@ -169,11 +174,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
             out = []
             found, first = tok.encode_column(batch.column(1), end_id)
             data, at = found.tobytes(), (4 * first).tolist()
-            for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:], strict=False):
-                out.extend(packer.add(Piece(doc_id, 0, data[a:b], (b - a) // 4)))
+            for doc_id, bears_loss, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), at, at[1:], strict=False):
+                n = (b - a) // 4
+                out.extend(packer.add(Piece(doc_id, 0, data[a:b], n, None if bears_loss else bytes(n))))
             if out:
                 yield rows.batch(*zip(*out))
         if out := list(packer.finish()):
             yield rows.batch(*zip(*out))
 
-    return id_and_text(docs).mapInArrow(pack, rows.schema)
+    return rows_in.mapInArrow(pack, rows.schema)
