@@ -182,6 +182,26 @@ def test_packing_limits():
     assert all(sum(r[2] for r in s) <= 64 and len(s) <= 3 and sum(r[7] for r in s) <= 20 for s in seqs.values())
 
 
+def test_packing_of_turns_under_a_loss_limit(spark):
+    """Turns of conversations as rows: the assistant's ids bear loss, the user's none."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").coalesce(2)
+    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", (F.col("role") == "assistant").alias("bears"))
+    texts = {r.doc_id: (r.text or "", r.bears) for r in turns.collect()}
+    tok = CachedTokenizer(default_path("word_bpe_49k.json"))
+    size = {d: len(tok.tok.encode(t, add_special_tokens=False).ids) + 1 for d, (t, _) in texts.items()}
+    out = packing.pack_documents(turns, default_path("word_bpe_49k.json"), tokens=512, segments=16, loss=128, loss_col="bears").collect()
+    length, loss, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    held = defaultdict(int)
+    for r in out:
+        length[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+        count[r.sequence_id] += 1
+        held[r.doc_id] += r.length
+        assert r.loss_tokens == (r.length if texts[r.doc_id][1] else 0)
+    assert held == size and len({b for _, b in texts.values()}) == 2
+    assert max(length.values()) <= 512 and max(loss.values()) <= 128 and max(count.values()) <= 16
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -233,6 +253,83 @@ def test_transport_stream(docs, rows):
         assert r.payload_sha256 == hashlib.sha256(want[r.doc_id]).hexdigest() and r.payload_bytes == len(want[r.doc_id]) and r.tail_crc32 == zlib.crc32(want[r.doc_id][-16:])
 
 
+def brute_secrets(t):
+    """The secret spans of ``t`` by a loop: a window of 40 characters each side decides where context is asked for."""
+    block = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*(?:Proc-Type: [^\n]*\n)?(?:DEK-Info: [^\n]*\n)?[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    words = "api|key|token|secret|password|passwd|pwd|credentials?|bearer|passwort|schlüssel|jeton|clave|contraseña"
+    out = []
+    for m in re.finditer(rf"{block}|(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{{20,}}", t):
+        s = m.group()
+        known = re.match(r"-----BEGIN |AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|sk_live_", s)
+        turns = sum(x.isdigit() and y.isalpha() or x.isalpha() and y.isdigit() for x, y in itertools.pairwise(s))
+        near = t[max(0, m.start() - 40) : m.end() + 40]
+        if known or turns >= 3 and re.search(rf"(?i)(?<![a-z])(?:{words})(?![a-z])", near):
+            out.append(f"secret:{m.start()}:{m.end()}")
+    return out
+
+
+def test_secrets_need_context_or_a_known_issuer(spark):
+    rng = random.Random(9)
+    hexa = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(8)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIBOgIBAAJBAK\n+/a=\n-----END RSA PRIVATE KEY-----"
+    texts = [
+        None, "", f'é token = "{hexa[0]}" x', f"commit {hexa[1]} of the tree", f"AKIA{'ABCD2345' * 2} here", f"so {pem} ends", "-" * 200, "token " + "a" * 400, "key = " + "9" * 50_000,
+        f"api_key={hexa[2]} and api_key={hexa[3]}", f"password: {hexa[4]}" + " word" * 20 + f" {hexa[5]}", "keyboard " + hexa[6], f"{hexa[7]} {hexa[7]} ist der Schlüssel", "secret/" + "ab1" * 60_000,
+    ]
+    texts += [" ".join(rng.choice([*hexa, "token", "word", "key:", "monkey", "ghp_" + "aB3" * 12, "é"]) for _ in range(rng.randint(2, 9))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pii_report(df).collect():
+        got = [x for x in r.spans.split(",") if x.startswith("secret")]
+        assert got == brute_secrets(texts[r.doc_id] or ""), texts[r.doc_id]
+        assert r.n_secret == len(got) and all(0.6 <= float(x) <= 1 for x in r.scores.split(",") if x)
+        assert len(r.scores.split(",")) == len(r.spans.split(","))
+    red = pii.redact(df.filter("doc_id IN (2, 5)")).orderBy("doc_id").collect()
+    assert [r.text for r in red] == ['é token = "[SECRET]" x', "so [SECRET] ends"]
+
+
+def test_context_raises_the_score_of_base_spans(spark):
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1111"), (2, "thing 4111 1111 1111 1111")], "doc_id long, text string")
+    scores = {r.doc_id: float(r.scores) for r in pii.pii_report(df).collect()}
+    assert scores[1] > scores[2] >= 0.6
+
+
+def brute_license(text):
+    """Names found by a search over the sentences' identifiers: each rule, in order, as a regular expression over a row of marks."""
+    known = license_scan.identify(text)
+    names = sorted({n for n in (k[1] for k in known)} | {n for _, rule in license_scan.RULES for n in rule})
+    sign = {n: chr(0x4E00 + i) for i, n in enumerate(names)}
+    row, found = "".join(sign[k[1]] for k in known), []
+    gone, gap = "\uffff", license_scan.GAP + 1
+    for licence, rule in license_scan.RULES:
+        at = 0
+        pattern = re.compile(f"{gone}*".join(sign[n] for n in rule))
+        while m := pattern.search(row, at):
+            took = [i for i in range(*m.span()) if row[i] != gone]
+            if all(known[b][0] - known[a][0] <= gap for a, b in itertools.pairwise(took)):
+                found.append(licence.format(v=next((known[i][2] for i in took if known[i][2]), "")))
+                row = "".join(gone if i in took else c for i, c in enumerate(row))
+                at = m.end()
+            else:
+                at = m.start() + 1
+    return sorted(found + [f"{known[i][1]}?" for i, c in enumerate(row) if c != gone])
+
+
+def test_license_query_against_a_brute_force_version(spark):
+    """The registered query over the whole smallest table, and licence texts cut and shuffled by sentence."""
+    base = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries()["op2_license_scan"](spark, base).collect()}
+    assert got.keys() == texts.keys() and any(r.n_notices for r in got.values())
+    for d, t in texts.items():
+        names = [x.rsplit(":", 2)[0] for x in got[d].spans.split(",") if x]
+        assert sorted(names) == brute_license(t) and got[d].n_notices == len(names) and got[d].licenses == ",".join(sorted(set(names)))
+    rng = random.Random(4)
+    parts = [s for t, _ in WHOLE for _, _, s in license_scan.sentences(t)]
+    for _ in range(300):
+        t = "\n\n".join(rng.choice(parts) if rng.random() < 0.5 else x for x in rng.choice([[s for _, _, s in license_scan.sentences(w)] for w, _ in WHOLE]) * rng.randint(1, 3))
+        assert sorted(n for n, _, _ in license_scan.scan(t)) == brute_license(t), t
+
+
 def test_iban_before_capitals_and_digits(spark):
     de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
     spaced = "DE89 3704 0044 0532 0130 00"
