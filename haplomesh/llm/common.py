@@ -8,6 +8,7 @@ their names cannot clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shingles import HASHES
+
+BATCH_ROWS = 2_000  # rows of an Arrow batch where rows are whole documents and stages share their workers
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: ``spark.checkpoint.dir``.
@@ -153,6 +158,38 @@ def small_batches(batches, budget: int = 8 << 20, column: str = "text"):
             at = end
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have ``BATCH_ROWS`` rows at most; a lower setting stays.
+
+    The batches of whole documents that the JVM and each worker hold are otherwise
+    of 10,000 rows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Empty the word cache and return freed memory to the system."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """The task function ``run``; at its end the worker gives memory back, as it lives on beside the stages that follow."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def value_offsets(col: pa.Array):
     """Byte offsets of a string or binary array's rows (length + 1 of them)."""
     import numpy as np

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, fresh, id_and_text, mark, materialise, small_batches, value_bytes, value_offsets
+from .common import Rows, fresh, id_and_text, mark, materialise, small_batches, tidy, value_bytes, value_offsets
 
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 907633385)
@@ -82,7 +82,7 @@ def digests(docs: DataFrame, poly: Polynomial | None = None) -> DataFrame:
                 sha.append(sha256(text).hexdigest())
             yield rows.batch(batch.column(0), batch.column(2), fp, size, pc.utf8_length(col).cast("int64"), sha)
 
-    return marked(docs).mapInArrow(run, rows.schema)
+    return marked(docs).mapInArrow(tidy(run), rows.schema)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def colliding(docs: DataFrame, base: DataFrame) -> DataFrame:
                 yield rows.batch(fp, size, sha, same)
 
     pairs = texts.join(leads, KEY).select("text", *KEY, "text_sha256", "lead_text")
-    return pairs.mapInArrow(compare, rows.schema).filter("NOT same").select(*KEY, "text_sha256").distinct()
+    return pairs.mapInArrow(tidy(compare), rows.schema).filter("NOT same").select(*KEY, "text_sha256").distinct()
 
 
 def exact_dedup(docs: DataFrame, poly: Polynomial | None = None) -> DataFrame:

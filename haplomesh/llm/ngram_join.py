@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, fresh, id_and_text, mark, materialise, small_batches
+from .common import Rows, fresh, id_and_text, mark, materialise, small_batches, tidy
 from .components import connected_components
 from .shingles import grams, mixed, word_hashes, words
 
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
             yield out.batch(batch.column(0), batch.column(2), high.view(np.int64), low.view(np.int64), sizes, lists)
 
-    return id_and_text(docs).withColumn("mark", mark(F.col("text"))).mapInArrow(run, out.schema)
+    return id_and_text(docs).withColumn("mark", mark(F.col("text"))).mapInArrow(tidy(run), out.schema)
 
 
 def link_tile(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -246,7 +246,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 node, copies, block, text = part.columns
                 yield sets.batch(node, copies, block, [shingle_set(t, n).tobytes() for t in text.to_pylist()])
 
-    members = materialise(texts.select("node", "copies", "block", "text").mapInArrow(to_sets, sets.schema), "sets")
+    members = materialise(texts.select("node", "copies", "block", "text").mapInArrow(tidy(to_sets), sets.schema), "sets")
     tiles = members.join(places, "block").select("x", "y", "block", "node", "copies", "grams")
     found = Rows(node="long", other="long", weight="long")
 
@@ -272,7 +272,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.repartition(parts, "x", "y").sortWithinPartitions("x", "y")
-    links = materialise(dealt.mapInArrow(verify, found.schema), "links")
+    links = materialise(dealt.mapInArrow(tidy(verify), found.schema), "links")
     chains = materialise(connected_components(links.filter("node <> other"), "node", "other"), "chains")
     names = classes.select("node", "class_id")
     groups = chains.join(names, "node").groupBy("component").agg(F.min("class_id").alias("group_id"))

@@ -23,9 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text_columns, small_batches
+from .common import Rows, id_and_text_columns, small_batches, tidy
 from .vocabulary import cached
 
+BATCH = 2 << 20  # bytes of text that are encoded at once
 COLUMNS = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long", "loss_tokens": "long"}
 
 
@@ -170,7 +171,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
 
         tok = cached(vocabulary)
         packer = Packer(tokens, segments, loss, window, TaskContext.get().partitionId() << 40)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BATCH):
             out = []
             found, first = tok.encode_column(batch.column(1), end_id)
             data, at = found.tobytes(), (4 * first).tolist()
@@ -182,4 +183,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
         if out := list(packer.finish()):
             yield rows.batch(*zip(*out))
 
-    return rows_in.mapInArrow(pack, rows.schema)
+    return rows_in.mapInArrow(tidy(pack), rows.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, materialise, small_batches
+from .common import Rows, id_and_text, materialise, small_batches, tidy
 
 SAMPLE = 20_000  # labelled rows that a fit reads at most
 PURITY = 10  # toxic training texts for each clean one that a strong entry needs
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     train = id_and_text(docs).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
     # Copies count once: the words of a much copied text say nothing about its label.
     train = train.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
-    counts = train.mapInArrow(features, out.schema).groupBy("entry").agg(*[F.sum(c).alias(c) for c in names])
+    counts = train.mapInArrow(tidy(features), out.schema).groupBy("entry").agg(*[F.sum(c).alias(c) for c in names])
     counts = materialise(counts.filter((F.col("entry") == "") | (F.col("pos") >= SUPPORT)), "entries")
     total = counts.filter("entry = ''").head()
     if total is None or not total.pos or not total.neg:
@@ -269,7 +269,7 @@ def score_documents(docs: DataFrame, learned: Lexicon) -> DataFrame:
             scores = [round(scorer.score(t), 9) for t in batch.column(1).to_pylist()]
             yield rows.batch(batch.column(0), scores, [int(s >= THRESHOLD) for s in scores])
 
-    return id_and_text(docs).mapInArrow(run, rows.schema)
+    return id_and_text(docs).mapInArrow(tidy(run), rows.schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -287,4 +287,4 @@ def drop_toxic(docs: DataFrame, learned: Lexicon, text_col: str = "text") -> Dat
         for batch in small_batches(batches, column=text_col):
             yield batch.filter(pa.array([scorer.score(t or "") < THRESHOLD for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
