@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplomesh.llm.common import scratch
+from haplomesh.llm.common import bound_batches, scratch
 from haplomesh.llm.exact_dedup import keep_first
 from haplomesh.llm.ngram_join import keep_one
 from haplomesh.llm.packing import pack_documents
@@ -23,16 +23,19 @@ from haplomesh.llm.vocabulary import default_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least the threshold go."""
+    bound_batches(spark)
     return drop_toxic_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: the longest original, then the smallest doc_id."""
+    bound_batches(spark)
     return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word Jaccard similarity 0.8 or more connect, the row of the smallest doc_id stays."""
+    bound_batches(spark)
     return keep_one(docs)
 
 
@@ -46,6 +49,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048 ids, as pieces."""
+    bound_batches(spark)
     return pack_documents(docs, default_path("word_bpe_49k.json"))
 
 
