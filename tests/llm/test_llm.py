@@ -752,3 +752,17 @@ def test_redaction_of_many_matches_and_wide_characters(spark):
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.pop(1) == "wörd 😀 [EMAIL], " * n
     assert got == {2: "\n\n😀 [IP]", 3: "x [PHONE] [EMAIL]", 4: None, 5: "😀"}
+
+
+def test_tasks_give_memory_back_and_batches_are_bounded(spark):
+    from haplomesh.llm import shingles
+    from haplomesh.llm.common import BATCH_ROWS, bound_batches, setting, tidy
+
+    shingles.HASHES["word"] = 1
+    assert list(tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+    assert not shingles.HASHES
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for before, after in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (7, 7)):
+        with setting(spark, key, before):
+            bound_batches(spark)
+            assert int(spark.conf.get(key)) == after
