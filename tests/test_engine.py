@@ -252,6 +252,20 @@ def test_relationship_with_missing_alleles(spark):
             assert got[a, b] == pytest.approx(1.0 if a == b else score)
 
 
+@pytest.mark.parametrize("haps", [203, 36])
+def test_relationship_in_tiles(spark, haps):
+    """Beyond some samples no task holds the matrix: the tiles give the same rows, each once, also with an odd haplotype at the end."""
+    v, _ = random_variants(spark, v=70, haps=haps, missing=True)
+    whole = {(r.s1, r.s2): r.ibs for r in A.relationship(v).collect()}
+    tiles = A.relationship(v.repartition(3), tile=16, most=8)
+    got = [tuple(r) for r in tiles.collect()]
+    samples = (haps + 1) // 2
+    assert len(got) == len(whole) == samples * samples and {(a, b): i for a, b, i in got} == whole
+    tile = tiles.select((F.least("s1", "s2") / 16).cast("int").alias("x"), (F.greatest("s1", "s2") / 16).cast("int").alias("y"), F.spark_partition_id().alias("task"))
+    assert tile.groupBy("x", "y").agg(F.countDistinct("task").alias("n")).filter("n > 1").isEmpty()
+    assert tile.select("task").distinct().count() > 1
+
+
 def test_no_query_outgrows_the_compiler(spark):
     """The generated code of the pair queries is compiled: what would be too large falls back with a log line and runs interpreted."""
     spark.conf.set("spark.sql.codegen.fallback", "false")
