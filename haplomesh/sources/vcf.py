@@ -182,14 +182,17 @@ def import_report(judged_records: DataFrame) -> DataFrame:
 
 
 def pack_words(bits: Column) -> Column:
-    """Array of bigint words of an array of 0/1, 64 a word."""
-    words = F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 64).cast("int"))
+    """Array of bigint words of an array of 0/1, 64 a word; ``bits`` is made once, not once a word."""
 
-    def word(w: Column) -> Column:
-        part = F.slice(bits, w * 64 + 1, F.lit(64))
+    def word(held: Column, w: Column) -> Column:
+        part = F.slice(held, w * 64 + 1, F.lit(64))
         return F.aggregate(F.transform(part, lambda b, i: F.call_function("shiftleft", b.cast("bigint"), i)), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
 
-    return F.transform(words, word)
+    def words(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / 64).cast("int")), lambda w: word(held, w))
+
+    # An expression inside a lambda is evaluated at each call, a lambda's variable is not.
+    return F.get(F.transform(F.array(bits), words), F.lit(0))
 
 
 def import_variants(records: DataFrame, flip: bool = False, **tests) -> DataFrame:
